@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from maskweave.functions.dialect import SPACE
 from maskweave.functions.validators import trim
 from maskweave.operators.patterns import CATEGORIES, PROFESSIONALS
+from maskweave.operators.spans import rows
 
 NAMES = tuple(c[0] for c in CATEGORIES)
 ENTITY = "struct<start:bigint,end:bigint,text:string,category:string,pseudonym:string,enabled:boolean>"
-TOKEN = r"\b(?:" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")_[0-9]{3,}\b"
+TOKEN = "(?:" + "|".join(sorted(NAMES, key=len, reverse=True)) + ")_[0-9]{3,}"
 
 
 def normal(text: Column) -> Column:
@@ -31,20 +32,32 @@ def key(category: Column, text: Column) -> Column:
     return F.concat(category, F.lit("::"), normal(text))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once: the only element of a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def number_rows(spans: Column) -> Column:
     """Entities of one text: resolved spans, in order, with their pseudonyms; professionals are off."""
-    forms = F.array_distinct(F.transform(spans, lambda x: F.struct(x["category"], key(x["category"], x["text"]).alias("k"))))
-    rank = lambda x: F.array_position(F.transform(F.filter(forms, lambda f: f["category"] == x["category"]), lambda f: f["k"]), key(x["category"], x["text"]))
-    return F.transform(
-        spans,
-        lambda x: F.struct(x["start"], x["end"], x["text"], x["category"], label(x["category"], rank(x)).alias("pseudonym"), (~x["category"].isin(*PROFESSIONALS)).alias("enabled")),
-    ).cast(f"array<{ENTITY}>")
+    keyed = F.transform(spans, lambda x: F.struct(x.alias("s"), x["category"].alias("c"), key(x["category"], x["text"]).alias("k")))
+    forms = lambda rows: F.array_distinct(F.transform(rows, lambda x: F.struct(x["c"], x["k"])))
+    by_category = lambda rows: F.map_from_entries(
+        let(forms(rows), lambda f: F.transform(F.array_distinct(F.transform(f, lambda x: x["c"])), lambda c: F.struct(c, F.transform(F.filter(f, lambda x: x["c"] == c), lambda x: x["k"]))))
+    )
+
+    def named(rows: Column, keys: Column) -> Column:
+        pseudonym = lambda x: label(x["c"], F.array_position(keys[x["c"]], x["k"]))
+        return F.transform(
+            rows,
+            lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["text"].alias("text"), x["c"].alias("category"), pseudonym(x).alias("pseudonym"), (~x["c"].isin(*PROFESSIONALS)).alias("enabled")),
+        )
+
+    return let(keyed, lambda rows: let(by_category(rows), lambda keys: named(rows, keys))).cast(f"array<{ENTITY}>")
 
 
 def mapping_rows(entities: DataFrame, corpus: list[str], col: str = "entities") -> DataFrame:
     """(corpus, pseudonym, category, norm_text, original): the first spelling of each distinct entity."""
-    rows = entities.select(*corpus, F.inline(col))
-    return rows.groupBy(*corpus, "category", "pseudonym", normal(F.col("text")).alias("norm_text")).agg(F.min_by("text", "start").alias("original"))
+    return rows(entities, corpus, col).groupBy(*corpus, "category", "pseudonym", normal(F.col("text")).alias("norm_text")).agg(F.min_by("text", "start").alias("original"))
 
 
 def number_corpus(spans: DataFrame, corpus: list[str], known: DataFrame | None = None) -> DataFrame:
@@ -79,8 +92,9 @@ def parse_mapping(entries: Column) -> Column:
 
 def mapping_json(entities: Column) -> Column:
     """Pseudonym-to-original object in order of first appearance."""
-    first = F.filter(entities, lambda e, i: F.array_position(F.transform(entities, lambda x: x["pseudonym"]), e["pseudonym"]) == i + 1)
-    return F.to_json(F.map_from_entries(F.transform(first, lambda e: F.struct(e["pseudonym"], e["text"]))))
+    first = lambda names: F.filter(entities, lambda e, i: F.array_position(names, e["pseudonym"]) == i + 1)
+    pairs = let(F.transform(entities, lambda x: x["pseudonym"]), lambda names: F.transform(first(names), lambda e: F.struct(e["pseudonym"], e["text"])))
+    return F.to_json(F.map_from_entries(pairs))
 
 
 def rewrite(text: Column, entities: Column) -> Column:
@@ -103,4 +117,4 @@ def reidentify(text: Column, entries: Column) -> Column:
     gaps = F.split(text, F.lit(TOKEN), -1)
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     back = F.transform(found, lambda t: F.coalesce(F.try_element_at(entries, t), t))
-    return F.when(text.rlike(TOKEN), F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(back)), back, F.concat), ""), F.element_at(gaps, -1))).otherwise(text)
+    return F.when(text.rlike(TOKEN), F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(back)), back, lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1))).otherwise(text)

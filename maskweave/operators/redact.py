@@ -10,6 +10,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskweave.functions.dialect import SPACE
 from maskweave.functions.validators import trim
@@ -20,7 +21,7 @@ from maskweave.sources.ingest import tools
 TOLERANCE, PADDING, DPI = 1, 2, 200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
@@ -30,7 +31,7 @@ def hocr_words(hocr: Column) -> Column:
     group = lambda k: F.regexp_extract_all(hocr, F.lit(HOCR_WORD), F.lit(k))
     zipped = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("d"), group(5).alias("e"))
     number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0))
-    return F.transform(zipped, lambda z: F.struct(F.regexp_replace(z["4"], "<[^>]*>", "").alias("text"), number(z["0"]).alias("x1"), number(z["1"]).alias("y1"), number(z["2"]).alias("x2"), number(z["3"]).alias("y2")))
+    return F.transform(zipped, lambda z: F.struct(F.regexp_replace(z["e"], "<[^>]*>", "").alias("text"), number(z["a"]).alias("x1"), number(z["b"]).alias("y1"), number(z["c"]).alias("x2"), number(z["d"]).alias("y2")))
 
 
 def words_of(pages, keys: list[str], hocr: str = "hocr"):

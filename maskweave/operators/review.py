@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.functions import dialect
 from maskweave.functions.validators import trim
-from maskweave.operators.pseudonym import ENTITY, key, label
+from maskweave.operators.pseudonym import ENTITY, key, label, let
 from maskweave.operators.refine import trim_particles
 from maskweave.operators.spans import SPANS
 
@@ -15,14 +14,17 @@ MAX_GAP = 20
 
 
 def occurrences(text: Column, needle: Column, case_sensitive: bool = False) -> Column:
-    """Starts of all copies of a needle, overlapping ones too, from 0."""
+    """Starts of all copies of a needle, overlapping ones too, from 0: the text is cut ahead of each copy, in one pass."""
     hay = text if case_sensitive else F.lower(text)
     pin = needle if case_sensitive else F.lower(needle)
-    size = F.length(pin)
-    room = F.greatest(F.length(hay) - size + 1, F.lit(0))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda i: F.substr(hay, i, size) == pin)
-    found = F.when((size > 0) & (room > 0) & F.contains(hay, pin), F.transform(at, lambda i: (i - 1).cast("bigint")))
-    return F.coalesce(found, F.array().cast("array<bigint>"))
+    ahead = F.concat(F.lit(r"(?=\Q"), F.replace(pin, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(x))).alias("out"))
+    # every piece but the last ends where a copy begins; a copy at the very beginning cuts nothing
+    ends = lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), zero, step, lambda acc: acc["out"])
+    none = F.array().cast("array<bigint>")
+    found = F.concat(F.when(F.startswith(hay, pin), F.array(F.lit(0).cast("bigint"))).otherwise(none), let(F.split(hay, ahead, -1), ends))
+    return F.when((F.length(pin) > 0) & F.contains(hay, pin), found).otherwise(none)
 
 
 def search(text: Column, needle: Column, case_sensitive: bool = False) -> Column:
@@ -51,29 +53,29 @@ def by_start(entities: Column) -> Column:
     return F.sort_array(entities)
 
 
-def add_entity(text: Column, entities: Column, start: Column, end: Column, category: Column) -> Column:
-    """struct<entities, needle, pseudonym, skipped>: particles are cut off; every copy that overlaps nothing is added,
-    else the marked span itself.  Nothing changes where only particles were marked."""
-    marked = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.substr(text, (start + 1).cast("int"), (end - start).cast("int")).alias("text"), category.alias("category"), F.lit(0).cast("bigint").alias("seq"))).cast(SPANS)
-    clean = F.get(trim_particles(text, marked), F.lit(0))
-    needle = clean["text"]
-    size = F.length(needle).cast("bigint")
-    pseudonym = next_pseudonym(entities, category, needle)
-    copies = F.filter(occurrences(text, needle), lambda s: ~F.exists(entities, lambda e: (e["start"] == s) & (e["end"] == s + size)))
-    free = F.filter(copies, lambda s: ~F.exists(entities, lambda e: _overlaps(e, s, s + size)))
-    new = F.transform(free, lambda s: _entity(s, size, text, category, pseudonym))
-    alone = F.array(_entity(clean["start"], size, text, category, pseudonym))
-    grown = by_start(F.concat(entities, F.when(F.size(new) > 0, new).otherwise(alone)))
-    kept = F.when(clean.isNull(), entities).otherwise(grown)
-    return F.struct(kept.alias("entities"), needle.alias("needle"), F.when(clean.isNotNull(), pseudonym).alias("pseudonym"), (F.size(copies) - F.size(free)).alias("skipped"))
-
-
-def apply_replace(text: Column, entities: Column, needle: Column, category: Column, pseudonym: Column) -> Column:
+def add_entity(df: DataFrame, start: Column, end: Column, category: Column, text: str = "text", entities: str = "entities") -> DataFrame:
+    """df with entities grown and needle, pseudonym and skipped appended: particles are cut off the marked span; every
+    copy that overlaps nothing is added, else the marked span itself.  Nothing changes where only particles were marked."""
+    body, own = F.col(text), F.col(entities)
+    marked = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.substr(body, (start + 1).cast("int"), (end - start).cast("int")).alias("text"), category.alias("category"), F.lit(0).cast("bigint").alias("seq"))
+    # one column per step, so that each is evaluated once
+    out = df.withColumn("__clean", F.get(trim_particles(body, F.array(marked).cast(SPANS)), F.lit(0))).withColumn("needle", F.col("__clean.text"))
+    size = F.length("needle").cast("bigint")
+    out = out.withColumn("pseudonym", F.when(F.col("needle").isNotNull(), next_pseudonym(own, category, F.col("needle")))).withColumn("__places", occurrences(body, F.col("needle")))
+    out = out.withColumn("__copies", F.filter("__places", lambda s: ~F.exists(own, lambda e: (e["start"] == s) & (e["end"] == s + size))))
+    out = out.withColumn("__free", F.filter("__copies", lambda s: ~F.exists(own, lambda e: _overlaps(e, s, s + size))))
+    added = F.when(F.size("__free") > 0, F.col("__free")).otherwise(F.array("__clean.start"))
+    new = F.transform(added, lambda s: _entity(s, size, body, category, F.col("pseudonym")))
+    grown = F.when(F.col("needle").isNull(), own).otherwise(by_start(F.concat(own, new)))
+    return out.withColumns({entities: grown, "skipped": F.size("__copies") - F.size("__free")}).drop("__clean", "__places", "__copies", "__free")
+
+
+def apply_replace(df: DataFrame, needle: Column, category: Column, pseudonym: Column, text: str = "text", entities: str = "entities") -> DataFrame:
     """All copies of the needle (case counts) become entities; those they overlap go."""
-    size = F.length(needle).cast("bigint")
-    places = occurrences(text, needle, True)
-    kept = F.filter(entities, lambda e: ~F.exists(places, lambda s: _overlaps(e, s, s + size)))
-    return by_start(F.concat(kept, F.transform(places, lambda s: _entity(s, size, text, category, pseudonym))))
+    body, own, size = F.col(text), F.col(entities), F.length(needle).cast("bigint")
+    out = df.withColumn("__places", occurrences(body, needle, True))
+    kept = F.filter(own, lambda e: ~F.exists("__places", lambda s: _overlaps(e, s, s + size)))
+    return out.withColumn(entities, by_start(F.concat(kept, F.transform("__places", lambda s: _entity(s, size, body, category, pseudonym))))).drop("__places")
 
 
 def remove_entity(entities: Column, index: Column) -> Column:
@@ -90,16 +92,19 @@ def toggle_category(entities: Column, category: Column) -> Column:
     return F.transform(entities, lambda e: F.when(e["category"] == category, e.withField("enabled", ~on)).otherwise(e))
 
 
-def merge(text: Column, entities: Column, indices: Column, category: Column) -> Column:
+def merge(df: DataFrame, indices: Column, category: Column, text: str = "text", entities: str = "entities") -> DataFrame:
     """Selected neighbours become one entity; unchanged if fewer than two or a gap is too long or holds a word."""
-    chosen = by_start(F.filter(entities, lambda e, i: F.array_contains(indices, i)))
-    rest = F.filter(entities, lambda e, i: ~F.array_contains(indices, i))
-    gap = lambda a, b: F.when(b["start"] > a["end"], F.substr(text, (a["end"] + 1).cast("int"), (b["start"] - a["end"]).cast("int"))).otherwise(F.lit(""))
-    joins = F.zip_with(F.slice(chosen, 1, F.greatest(F.size(chosen) - 1, F.lit(0))), F.slice(chosen, 2, F.greatest(F.size(chosen) - 1, F.lit(0))), lambda a, b: (F.length(gap(a, b)) <= MAX_GAP) & ~gap(a, b).rlike(dialect.java("[a-zA-ZÀ-ÿ]{3,}")))
-    start, end = F.get(chosen, F.lit(0))["start"], F.get(chosen, F.size(chosen) - 1)["end"]
-    whole = F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
-    made = _entity(start, end - start, text, category, next_pseudonym(entities, category, whole))
-    return F.when((F.size(chosen) >= 2) & F.forall(joins, lambda x: x), by_start(F.concat(rest, F.array(made)))).otherwise(entities)
+    body, own = F.col(text), F.col(entities)
+    out = df.withColumns({"__chosen": by_start(F.filter(own, lambda e, i: F.array_contains(indices, i))), "__rest": F.filter(own, lambda e, i: ~F.array_contains(indices, i))})
+    chosen, pairs = F.col("__chosen"), F.greatest(F.size("__chosen") - 1, F.lit(0))
+    gap = lambda a, b: F.when(b["start"] > a["end"], F.substr(body, (a["end"] + 1).cast("int"), (b["start"] - a["end"]).cast("int"))).otherwise(F.lit(""))
+    out = out.withColumn("__gaps", F.zip_with(F.slice(chosen, 1, pairs), F.slice(chosen, 2, pairs), gap))
+    joins = F.forall("__gaps", lambda g: (F.length(g) <= MAX_GAP) & ~g.rlike("[a-zA-ZÀ-ÿ]{3,}"))
+    out = out.withColumns({"__ok": (F.size(chosen) >= 2) & joins, "__start": F.get(chosen, F.lit(0))["start"], "__end": F.get(chosen, F.size(chosen) - 1)["end"]})
+    size = F.col("__end") - F.col("__start")
+    out = out.withColumn("__whole", F.substr(body, (F.col("__start") + 1).cast("int"), size.cast("int"))).withColumn("__name", next_pseudonym(own, category, F.col("__whole")))
+    made = by_start(F.concat("__rest", F.array(_entity(F.col("__start"), size, body, category, F.col("__name")))))
+    return out.withColumn(entities, F.when(F.col("__ok"), made).otherwise(own)).drop("__chosen", "__rest", "__gaps", "__ok", "__start", "__end", "__whole", "__name")
 
 
 def segments(text: Column, entities: Column) -> Column:

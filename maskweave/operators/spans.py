@@ -25,6 +25,12 @@ SPANS = f"array<{SPAN}>"
 SPANS_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n in ("text", "category") else T.LongType()) for n in ("start", "end", "text", "category", "seq")]))
 
 
+def rows(df, keys: list[str], column: str):
+    """One row per span or entity.  The outer form keeps the optimiser from adding a filter that evaluates the array again."""
+    made = df.select(*keys, F.inline_outer(column))
+    return made.filter(F.col("start").isNotNull())
+
+
 def empty() -> Column:
     return F.array().cast(SPANS)
 

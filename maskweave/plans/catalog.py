@@ -26,7 +26,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, column: str = "spans") -> DataFrame:
-    return df.select("doc_id", F.inline(column)).select(*ROW)
+    return spans.rows(df, ["doc_id"], column).select(*ROW)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysed(spark, sf_dir).select("doc_id", F.inline("entities"))
+    return spans.rows(_analysed(spark, sf_dir), ["doc_id"], "entities")
 
 
 def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,18 +140,18 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entity_rows(df: DataFrame, column: str = "entities") -> DataFrame:
-    return df.select("doc_id", F.inline(column))
+    return spans.rows(df, ["doc_id"], column)
 
 
 def _review_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _reviewed(spark, sf_dir)
     start = (F.instr("text", "75011") - 1).cast("bigint")
-    return _entity_rows(df.withColumn("entities", review.add_entity(F.col("text"), F.col("entities"), start, start + 5, F.lit("LIEU"))["entities"]))
+    return _entity_rows(review.add_entity(df, start, start + 5, F.lit("LIEU")))
 
 
 def _review_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _reviewed(spark, sf_dir)
-    return _entity_rows(df.withColumn("entities", review.apply_replace(F.col("text"), F.col("entities"), F.lit("example"), F.lit("LIEU"), F.lit("LIEU_001"))))
+    return _entity_rows(review.apply_replace(df, F.lit("example"), F.lit("LIEU"), F.lit("LIEU_001")))
 
 
 def _review_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +174,12 @@ def _review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.get(mail, F.lit(0))["start"]
     halves = F.array(*[F.struct((at + a).alias("start"), (at + b).alias("end"), F.substr("text", (at + a + 1).cast("int"), F.lit(b - a)).alias("text"), F.lit("EMAIL").alias("category"), F.lit(f"EMAIL_00{i}").alias("pseudonym"), F.lit(True).alias("enabled")) for i, (a, b) in enumerate(((0, 2), (3, 6)), 1)])
     df = df.withColumn("entities", halves.cast(f"array<{pseudonym.ENTITY}>"))
-    return _entity_rows(df.withColumn("entities", review.merge(F.col("text"), F.col("entities"), F.array(F.lit(0), F.lit(1)), F.lit("LIEU"))))
+    return _entity_rows(review.merge(df, F.array(F.lit(0), F.lit(1)), F.lit("LIEU")))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _reviewed(spark, sf_dir)
-    return df.select("doc_id", F.inline(review.segments(F.col("text"), F.col("entities"))))
+    return spans.rows(df.withColumn("parts", review.segments(F.col("text"), F.col("entities"))), ["doc_id"], "parts")
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:

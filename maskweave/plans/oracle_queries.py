@@ -104,11 +104,11 @@ WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.doc_id = c.doc_id AND c.s < e
         REVIEW
         | {
             "marked": 'SELECT doc_id, "start", "end", category, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS before FROM entities WHERE enabled',
-            "tail": 'SELECT d.doc_id, d.text, coalesce(max(m."end"), 0) AS at FROM doc d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text',
+            "tail": 'SELECT d.doc_id, d.text, coalesce(max(m."end"), 0) AS done FROM doc d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text',
         },
         """SELECT m.doc_id, m."start", substr(d.text, m."start" + 1, m."end" - m."start") AS text, m.category FROM marked m JOIN doc d USING (doc_id)
 UNION ALL SELECT m.doc_id, m.before, substr(d.text, m.before + 1, m."start" - m.before), NULL FROM marked m JOIN doc d USING (doc_id) WHERE m."start" > m.before
-UNION ALL SELECT doc_id, at, substr(text, at + 1), NULL FROM tail WHERE at < length(text)""",
+UNION ALL SELECT doc_id, done, substr(text, done + 1), NULL FROM tail WHERE done < length(text)""",
     )
     out["search"] = """SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 AS BIGINT) AS any_case, CAST(len(string_split(text, 'The')) - 1 AS BIGINT) AS this_case FROM documents"""
 
@@ -116,7 +116,7 @@ UNION ALL SELECT doc_id, at, substr(text, at + 1), NULL FROM tail WHERE at < len
     out["corpus_text"] = f"SELECT conv_id, string_agg(head || text, '' ORDER BY page) AS text FROM ({_pages_sql()}) GROUP BY conv_id"
     offsets = f"SELECT conv_id, file, page, text, head, CAST(sum(length(head) + length(text)) OVER (PARTITION BY conv_id ORDER BY page) - length(text) AS BIGINT) AS \"offset\" FROM ({_pages_sql()})"
     out["page_offsets"] = f'SELECT conv_id, file, page, "offset" FROM ({offsets})'
-    out["page_spans"] = f'SELECT conv_id, file, page, "offset" AS "start", "offset" + length(text) AS "end" FROM ({offsets})'
+    out["page_spans"] = f'''SELECT conv_id, file, page, "offset" AS "start", "offset" + length(text) + CASE WHEN lead(page) OVER (PARTITION BY conv_id ORDER BY page) IS NULL THEN 0 ELSE 2 END AS "end" FROM ({offsets})'''
     out["page_split"] = r"""WITH RECURSIVE t AS (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
 s AS (SELECT doc_id, text AS rest, CAST(0 AS BIGINT) AS page, '' AS piece FROM t
   UNION ALL SELECT doc_id, substr(rest, n + 1), page + 1, substr(rest, 1, n) FROM (

@@ -19,6 +19,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskweave.functions.dialect import SPACE
 
@@ -85,7 +86,7 @@ def split_pages(text: str, size: int = PAGE_BYTES) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _split(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else split_pages(t))
 
