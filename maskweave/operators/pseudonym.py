@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskweave.functions.dialect import SPACE
-from maskweave.functions.validators import trim
+from maskweave.functions.validators import one_of, trim
 from maskweave.operators.patterns import CATEGORIES, PROFESSIONALS
-from maskweave.operators.spans import rows
+from maskweave.operators.spans import let, rows
 
 NAMES = tuple(c[0] for c in CATEGORIES)
 ENTITY = "struct<start:bigint,end:bigint,text:string,category:string,pseudonym:string,enabled:boolean>"
@@ -32,11 +32,6 @@ def key(category: Column, text: Column) -> Column:
     return F.concat(category, F.lit("::"), normal(text))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value evaluated once: the only element of a one-element array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def number_rows(spans: Column) -> Column:
     """Entities of one text: resolved spans, in order, with their pseudonyms; professionals are off."""
     keyed = F.transform(spans, lambda x: F.struct(x.alias("s"), x["category"].alias("c"), key(x["category"], x["text"]).alias("k")))
@@ -49,7 +44,7 @@ def number_rows(spans: Column) -> Column:
         pseudonym = lambda x: label(x["c"], F.array_position(keys[x["c"]], x["k"]))
         return F.transform(
             rows,
-            lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["text"].alias("text"), x["c"].alias("category"), pseudonym(x).alias("pseudonym"), (~x["c"].isin(*PROFESSIONALS)).alias("enabled")),
+            lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["text"].alias("text"), x["c"].alias("category"), pseudonym(x).alias("pseudonym"), (~one_of(x["c"], PROFESSIONALS)).alias("enabled")),
         )
 
     return let(keyed, lambda rows: let(by_category(rows), lambda keys: named(rows, keys))).cast(f"array<{ENTITY}>")
@@ -87,7 +82,7 @@ def parse_mapping(entries: Column) -> Column:
             F.regexp_extract(e["key"], r"^([A-Z_]+)_([0-9]+)$", 2).try_cast("int").alias("number"), e["value"].alias("original"),
         ),
     )
-    return F.filter(rows, lambda r: r["category"].isin(*NAMES))
+    return F.filter(rows, lambda r: one_of(r["category"], NAMES))
 
 
 def mapping_json(entities: Column) -> Column:

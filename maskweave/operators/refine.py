@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskweave.functions import dialect
-from maskweave.functions.validators import strip_accents, trim
+from maskweave.functions.validators import one_of, strip_accents, trim
 from maskweave.operators.patterns import BIRTH_BEFORE, DEATH_BEFORE, NAME_RUN, PARTICLES, PROCEDURE_BEFORE, PROFESSIONALS, STRUCTURED
 from maskweave.operators.spans import SPANS, SPANS_TYPE, empty
 
@@ -35,12 +35,12 @@ def reclassify_dates(text: Column, spans: Column) -> Column:
 def drop_doubtful(spans: Column) -> Column:
     """Persons of one word of at most two characters go."""
     short = lambda x: trim(x["text"]).rlike(f"^[^{dialect.SPACE}]{{0,2}}\\z")
-    return F.filter(spans, lambda x: ~(x["category"].isin("PERSONNE", *PROFESSIONALS) & short(x)))
+    return F.filter(spans, lambda x: ~(one_of(x["category"], ("PERSONNE", *PROFESSIONALS)) & short(x)))
 
 
 def persons_in_companies(spans: Column) -> Column:
     """Added spans: a person's name inside a company's."""
-    names = F.filter(spans, lambda x: x["category"].isin("PERSONNE", *PROFESSIONALS) & (F.length(x["text"]) >= 3))
+    names = F.filter(spans, lambda x: one_of(x["category"], ("PERSONNE", *PROFESSIONALS)) & (F.length(x["text"]) >= 3))
     companies = F.filter(spans, lambda x: x["category"] == "PERSONNE_MORALE")
 
     def inside(c: Column, n: Column) -> Column:
@@ -137,7 +137,7 @@ TRAILING = rf"(?iu)(?:[{dialect.SPACE},]+{_PARTICLE}['’]?)+\z"
 
 
 def is_particle(text: Column) -> Column:
-    return strip_accents(F.lower(trim(F.regexp_replace(text, "['’]", "")))).isin(*PARTICLES)
+    return one_of(strip_accents(F.lower(trim(F.regexp_replace(text, "['’]", "")))), PARTICLES)
 
 
 def trim_particles(text: Column, spans: Column) -> Column:
@@ -152,8 +152,8 @@ def trim_particles(text: Column, spans: Column) -> Column:
         whole = trim(kept)
         return F.struct(start.cast("bigint").alias("start"), (start + F.length(whole)).cast("bigint").alias("end"), whole.alias("text"), x["category"], x["seq"])
 
-    moved = F.transform(spans, lambda x: F.when(x["category"].isin(*STRUCTURED), x).otherwise(cut(x).cast("struct<start:bigint,end:bigint,text:string,category:string,seq:bigint>")))
-    wanted = lambda x: x["category"].isin(*STRUCTURED) | ((F.length(x["text"]) >= 2) & ~(~F.contains(x["text"], F.lit(" ")) & is_particle(x["text"])))
+    moved = F.transform(spans, lambda x: F.when(one_of(x["category"], STRUCTURED), x).otherwise(cut(x).cast("struct<start:bigint,end:bigint,text:string,category:string,seq:bigint>")))
+    wanted = lambda x: one_of(x["category"], STRUCTURED) | ((F.length(x["text"]) >= 2) & ~(~F.contains(x["text"], F.lit(" ")) & is_particle(x["text"])))
     return F.filter(moved, wanted).cast(SPANS)
 
 

@@ -10,7 +10,7 @@ from maskweave.operators.spans import SPANS
 
 
 def priority(category: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p]), category), F.lit(0))
+    return F.coalesce(F.try_element_at(F.expr("map(" + ", ".join(f"'{c}', {p}" for c, p in PRIORITY.items()) + ")"), category), F.lit(0))
 
 
 def resolve(spans: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.functions.validators import trim
-from maskweave.operators.pseudonym import ENTITY, key, label, let
+from maskweave.operators.pseudonym import ENTITY, key, label
 from maskweave.operators.refine import trim_particles
-from maskweave.operators.spans import SPANS
+from maskweave.operators.spans import SPANS, let
 
 MAX_GAP = 20
 

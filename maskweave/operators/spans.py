@@ -25,6 +25,11 @@ SPANS = f"array<{SPAN}>"
 SPANS_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n in ("text", "category") else T.LongType()) for n in ("start", "end", "text", "category", "seq")]))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once: the only element of a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rows(df, keys: list[str], column: str):
     """One row per span or entity.  The outer form keeps the optimiser from adding a filter that evaluates the array again."""
     made = df.select(*keys, F.inline_outer(column))
@@ -46,12 +51,17 @@ def starts(gaps: Column, found: Column) -> Column:
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, text>> of a Java pattern's matches; a group starts at its first copy inside the match."""
     rx = F.lit(pattern)
+    gaps = F.split(text, rx, -1)
     found = F.regexp_extract_all(text, rx, F.lit(0))
-    places = F.zip_with(starts(F.split(text, rx, -1), found), found, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
-    inner = F.regexp_extract_all(text, rx, F.lit(group)) if group else found
-    rows = F.zip_with(places, inner, lambda p, g: F.struct((p["s"] + F.instr(p["m"], g) - 1).cast("bigint").alias("start"), g.alias("text")))
+    inner = (lambda m: F.regexp_extract_all(text, rx, F.lit(group))) if group else (lambda m: m)
     none = F.array().cast("array<struct<start:bigint,text:string>>")
-    return F.when(text.rlike(pattern), F.filter(rows, lambda x: x["text"] != "")).otherwise(none)
+
+    def placed(m: Column) -> Column:
+        places = F.zip_with(starts(gaps, m), m, lambda s, x: F.struct(s.alias("s"), x.alias("m")))
+        made = F.zip_with(places, inner(m), lambda p, g: F.struct((p["s"] + F.instr(p["m"], g) - 1).cast("bigint").alias("start"), g.alias("text")))
+        return F.filter(made, lambda x: x["text"] != "")
+
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(none)
 
 
 def _accepted(pattern: Pattern):
