@@ -108,8 +108,12 @@ def rewrite(text: Column, entities: Column) -> Column:
 
 
 def reidentify(text: Column, entries: Column) -> Column:
-    """Whole pseudonym tokens replaced by their originals; entries: map<string,string>.  Unknown tokens stay."""
+    """Pseudonym tokens replaced by their originals; entries: map<string,string>.  Unknown tokens stay.
+
+    Digits of the text may follow a token; the longest start of it that the mapping knows is the token.
+    """
     gaps = F.split(text, F.lit(TOKEN), -1)
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    back = F.transform(found, lambda t: F.coalesce(F.try_element_at(entries, t), t))
+    known = lambda t, k: F.concat(F.try_element_at(entries, F.substr(t, F.lit(1), F.length(t) - k)), F.substr(t, F.length(t) - k + 1))
+    back = F.transform(found, lambda t: F.coalesce(*[known(t, k) for k in range(9)], t))
     return F.when(text.rlike(TOKEN), F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(back)), back, lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1))).otherwise(text)

@@ -127,11 +127,31 @@ def _full_name(text: str) -> bool:
     return plain not in NO_FIRST_NAMES and not all(len(w) <= 2 for w in words if _CAPS.match(w))
 
 
+def _nir(text: str) -> bool:
+    d = "".join(_words(text))
+    return len(d) == 15 and 97 - int(d[:13]) % 97 == int(d[13:])
+
+
+def _iban(text: str) -> bool:
+    clean = "".join(_words(text)).upper()
+    return 15 <= len(clean) <= 34 and int("".join(str(int(c, 36)) for c in clean[4:] + clean[:4])) % 97 == 1
+
+
+def _siren(text: str) -> bool:
+    d = "".join(_words(text))
+    luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    return len(d) in (9, 14) and luhn and d[0] != "0" and len(set(d)) > 1
+
+
+_CHECKS = {"nir": _nir, "iban": _iban, "siren": _siren, "name": lambda x: not _stopword(x), "caps": lambda x: not _stopword(x) and _full_name(x)}
+
+
 def python_spans(text: str | None, number: int) -> Iterator[tuple]:
     pattern, k = PATTERNS[number], 0
+    check = _CHECKS.get(pattern.check)
     for m in _compiled(number).finditer(text or ""):
         got = m[pattern.group]
-        if not got or len(_strip().sub("", got)) < pattern.least or _stopword(got) or (pattern.check == "caps" and not _full_name(got)):
+        if not got or (pattern.least and len(_strip().sub("", got)) < pattern.least) or (check and not check(got)):
             continue
         start = m.start() + m[0].index(got)
         yield start, start + len(got), _strip().sub("", got) if pattern.trimmed else got, pattern.category, (number << 32) + k
@@ -149,10 +169,16 @@ def python_scan(numbers: tuple[int, ...]):
     return scan.asNondeterministic()  # kept apart by the optimiser, so that it runs once
 
 
-def detect(text: Column, only: tuple[str, ...] | None = None) -> Column:
+#: Up to so many patterns run as built-in functions; more go through one UDF, where a text with many hits
+#: is scanned once a pattern and not once a gate, a split and an extraction (measured: 10 to 20 times faster on case files).
+FEW = 4
+
+
+def detect(text: Column, only: tuple[str, ...] | None = None, few: int = FEW) -> Column:
     """All patterns' spans in detection order; only: names of the wanted patterns."""
     chosen = [p for p in PATTERNS if only is None or p.name in only]
-    here = [catalyst_spans(text, p) for p in chosen if p.engine == "catalyst"]
-    there = tuple(NUMBER[p.name] for p in chosen if p.engine == "python")
+    built_in = len(chosen) <= few
+    here = [catalyst_spans(text, p) for p in chosen if p.engine == "catalyst" and built_in]
+    there = tuple(NUMBER[p.name] for p in chosen if p.engine == "python" or not built_in)
     parts = here + ([python_scan(there)(text)] if there else [])
     return F.array_sort(F.concat(*parts), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)) if len(parts) > 1 else parts[0]

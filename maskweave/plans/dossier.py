@@ -52,5 +52,6 @@ FROM e
 
 
 def dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text), one case file per customer."""
-    return spark.sql(DOSSIER.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    """(doc_id, text), one case file per customer; dealt out, as a small table is one partition and its texts are not small."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(DOSSIER.replace("FROM customer", "FROM {customer}"), customer=customer)
