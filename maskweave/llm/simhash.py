@@ -166,8 +166,13 @@ def stars(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarra
             left = np.concatenate([np.arange(k, 0, -1) for k in size[pick].tolist()])  # rows of the group from here on
             sliced = planes(values[rows])
             for by in range(1, int(size[pick].max())):
+                apart = label[rows[:-by]] != label[rows[by:]]  # lanes joined before need no comparison
                 lanes = np.zeros(sliced.shape[1] * 64, bool)
-                lanes[: len(rows)] = left > by
+                lanes[: len(rows) - by] = apart & (left[:-by] > by)
+                if not lanes.any():
+                    if by % 64 == 0 and not _open(label, starts[pick], size[pick]):
+                        break
+                    continue
                 near = near_lanes(sliced, by, np.packbits(lanes, bitorder="little").view(np.uint64), radius)
                 hits = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
                 if len(hits):
@@ -178,6 +183,11 @@ def stars(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarra
     return moved, root[moved]
 
 
+def _open(label: np.ndarray, starts: np.ndarray, size: np.ndarray) -> bool:
+    """Whether some group is not yet one component."""
+    return any((label[s : s + k] != label[s]).any() for s, k in zip(starts.tolist(), size.tolist(), strict=True))
+
+
 def _roots(label: np.ndarray) -> np.ndarray:
     while True:
         up = label[label]
@@ -284,7 +294,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, block_rows: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, block_rows: int = 4096
 ) -> DataFrame:
     """(id, simhash, component_id): component_id is the smallest id reachable over links of at most radius bits."""
     marked = cut(with_fingerprint(docs, text_col, shingle, [id_col]))
