@@ -1,0 +1,124 @@
+"""Operators on empty tables, null ids, repeated rows and clashing columns."""
+
+import pytest
+import public_tokenizers
+
+from maskweave.llm import chat, hosts, neardup, packing, quality, rules, secrets, shards, simhash, warc, winnow
+from pyspark.sql import functions as F
+from tests.llm import brute
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(None, None, None, None, None), (None, "some words here", None, None, None), (1, None, "x", "y", 0), (1, None, "x", "y", 0), (2, "", None, None, 0), (3, "same text of a few words", None, None, 5), (3, "same text of a few words", None, None, 5)]
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(None, 1, 0), (1, None, None), (3, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_empty_tables(spark, none, labels):
+    items = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    no_labels = labels.limit(0)
+    assert packing.pack(none, VOCABULARY).count() == 0
+    assert warc.read_bundles(warc.write_bundles(pages)).count() == 0
+    assert secrets.find_secrets(none).count() == 0 and secrets.mask(none).count() == 0
+    assert winnow.decontaminate(none, items).count() == 0
+    assert hosts.judge(pages, F.lit(1), [("block", "x", "/")]).count() == 0
+    assert shards.materialise(none, VOCABULARY).count() == 0
+    assert chat.format_chat(turns).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    assert quality.classify(none, no_labels).count() == 0
+    assert rules.judge(none, no_labels).count() == 0
+    assert neardup.keep_one(none).count() == 0
+
+
+def test_no_labels(odd, labels):
+    assert {r.score for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
+    assert rules.judge(odd, labels.limit(0)).filter("rule is not null").count() == 0
+
+
+def test_odd_rows_stay(spark, odd, labels):
+    items = spark.createDataFrame([(1, "same text of a few words"), (None, "x"), (2, None)], "item_id long, text string")
+    pieces = packing.pack(odd, VOCABULARY).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in {(r.doc_id, r.sequence_id, r.offset): r for r in pieces}.values() if r.start == 0)
+    assert secrets.find_secrets(odd).count() == len(ODD)
+    found = winnow.decontaminate(odd, items).collect()
+    assert len(found) == len(ODD) and sum(r.n_hit for r in found) == 12
+    assert simhash.near_duplicates(odd).count() == len(ODD)
+    assert quality.classify(odd, labels).count() == len(ODD)
+    assert rules.judge(odd, labels).count() == len(ODD)
+    kept = neardup.keep_one(odd).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3] and sum(r.doc_id is None for r in kept) == 2
+
+
+def test_clashing_columns(spark, odd, labels):
+    items = spark.createDataFrame([(1, "same text of a few words")], "item_id long, text string")
+    clash = odd.withColumns({"N_Hit": F.lit("x"), "items": F.lit("x"), "simhash": F.lit("x"), "base_spans": F.lit("x"), "n_words": F.lit("x"), "score": F.lit("x"), "host": F.lit("x"), "rule": F.lit("x")})
+    assert sum(r.n_hit for r in winnow.decontaminate(clash, items).collect()) == 12
+    assert simhash.with_fingerprint(clash).count() == len(ODD)
+    assert secrets.find_secrets(clash).count() == len(ODD)
+    assert rules.judge(clash, labels, keep=None).count() == len(ODD)
+    assert quality.classify(clash, labels).count() == len(ODD)
+    pages = clash.withColumns({"url": F.lit("http://a.x/b"), "html": F.lit("y")})
+    assert {r.host for r in hosts.judge(pages, F.lit(0), []).collect()} == {"a.x"}
+
+
+def test_winnowing_in_blocks(spark, docs):
+    """Several blocks give what one gives."""
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    words = (docs[0][1] or "").split(" ")
+    items = spark.createDataFrame([(i, " ".join(words[i * 5 : i * 5 + 14])) for i in range(12)], "item_id long, text string")
+    one = winnow.decontaminate(table, items).select("doc_id", "n_hit", F.array_join("items", ",")).collect()
+    many = winnow.decontaminate(table, items, block_bytes=600).select("doc_id", "n_hit", F.array_join("items", ",")).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and any(r.n_hit for r in one)
+
+
+def test_hot_blocks_lose_no_link(spark):
+    """Blocks far above block_rows are cut by further bands and still give every link."""
+    import random
+
+    rnd, base = random.Random(3), 0x5555AAAA12345678
+    prints = {base}
+    for _ in range(400):
+        x = base
+        for _ in range(rnd.randint(1, 4)):
+            x ^= 1 << rnd.randrange(64)
+        prints.add(x)
+    signed = [(simhash._signed(x),) for x in prints]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), 2, 20)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    ids = sorted(x for (x,) in signed)
+    want = brute.roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 2])
+    assert {x: got.get(x, x) for x in ids} == want
+
+
+def test_fuller_windows_go_first():
+    import numpy as np
+
+    packer = packing.Packer(8, 2)
+    for doc, n in enumerate((5, 6, 3, 4)):
+        packer.add(doc, np.arange(n))
+    assert [[(p[0], len(p[2])) for p in s] for s in packer.out] == [[(0, 5), (2, 3)]]
+    tail = packer.merge()
+    assert sum(len(p[2]) for s in packer.out for p in s) + sum(len(p[2]) for p in tail) == 18
+
+
+def test_learnt_rules_reject_junk(spark, folder):
+    docs, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = rules.judge(docs, marks).join(marks, "doc_id").collect()
+    bad = [r for r in judged if r.quality == 0]
+    assert sum(r.rule is not None for r in bad) / len(bad) > 0.6
+    assert sum(r.rule is not None for r in judged if r.quality == 1) <= 2
