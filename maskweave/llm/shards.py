@@ -144,7 +144,7 @@ def materialise(
             yield flush()
 
     made = source.mapInArrow(sequences, "shard int, permuted long, source_index long, n_tokens int, ids binary")
-    dealt = made.repartition(shards, "shard").sortWithinPartitions("shard", "permuted")
+    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "permuted")
     notes = cut(dealt.mapInArrow(write, "shard int, permuted long, source_index long, n_tokens int, crc32 long, rank long, path string"))
     # one row per shard, `shards` at most
     first = notes.groupBy("shard").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
