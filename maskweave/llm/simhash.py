@@ -151,10 +151,10 @@ def near_lanes(sliced: np.ndarray, by: int, wanted: np.ndarray, radius: int) ->
     return out
 
 
-def stars(values: np.ndarray, group: np.ndarray, radius: int, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def stars(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, smallest row of its component) among rows of the same group, which lie together.
 
-    `met`, where given, is filled with the pairs within the radius that joined components.
+    For links that need no further check: rows joined already are not compared again.
     """
     n = len(values)
     label = np.arange(n)
@@ -179,8 +179,6 @@ def stars(values: np.ndarray, group: np.ndarray, radius: int, met: list | None =
                 near = near_lanes(sliced, by, np.packbits(lanes, bitorder="little").view(np.uint64), radius)
                 hits = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
                 if len(hits):
-                    if met is not None:
-                        met.append((rows[hits + by], rows[hits]))
                     _join(label, rows[hits], rows[hits + by])
         floor *= 2
     root = _roots(label)
@@ -215,12 +213,11 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     label[:] = root
 
 
-def block_edges(keyed: DataFrame, radius: int, pairs: bool = False) -> DataFrame:
-    """Star edges of every block as fingerprints, or pairs within the radius as nodes; keyed: (way, key, fp[, node]).
+def block_edges(keyed: DataFrame, radius: int) -> DataFrame:
+    """Star edges of every block as fingerprints; keyed: (way, key, fp).
 
     A block's rows meet in one task.
     """
-    columns = ["way", "key", "fp", "node"] if pairs else ["way", "key", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -228,12 +225,8 @@ def block_edges(keyed: DataFrame, radius: int, pairs: bool = False) -> DataFrame
         def edges(rows: np.ndarray) -> pa.RecordBatch:
             change = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
             group = np.concatenate([[0], np.cumsum(change)])
-            met: list | None = [] if pairs else None
-            a, b = stars(rows[:, 2].view(np.uint64), group, radius, met)
-            if pairs:
-                a = np.concatenate([x for x, _ in met] or [a[:0]])
-                b = np.concatenate([y for _, y in met] or [b[:0]])
-            return pa.RecordBatch.from_arrays([pa.array(rows[a, -1]), pa.array(rows[b, -1])], names=["a", "b"])
+            a, b = stars(rows[:, 2].view(np.uint64), group, radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], names=["a", "b"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
@@ -248,26 +241,19 @@ def block_edges(keyed: DataFrame, radius: int, pairs: bool = False) -> DataFrame
         if held and len(held[0]):
             yield edges(np.ascontiguousarray(held[0]))
 
-    return keyed.select(*columns).repartition("way", "key").sortWithinPartitions("way", "key", "fp").mapInArrow(run, "a long, b long")
+    return keyed.select("way", "key", "fp").repartition("way", "key").sortWithinPartitions("way", "key", "fp").mapInArrow(run, "a long, b long")
 
 
 #: Crowded blocks (way and key, 16 bytes each) are broadcast up to this number and joined by shuffle beyond it.
 HOT_BLOCKS = 200_000
 
 
-def links(prints: DataFrame, radius: int, block_rows: int, views: int = 0) -> DataFrame:
-    """Star edges over distinct fingerprints (column fp): every pair within radius ends up connected.
-
-    With `views`, prints has (view, fp, node), one node for each fingerprint of a view, and the edges are pairs of
-    nodes within the radius that connect whatever is within it in a view.
-    """
-    carried = ["fp", "node"] if views else ["fp"]
+def links(prints: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """Star edges over distinct fingerprints (column fp): every pair within radius ends up connected."""
     first = block_masks(list(range(63, -1, -1)), radius)
-    level = {v * len(first) + i: x for v in range(views or 1) for i, x in enumerate(first)}
-    base = F.col("view") * len(first) if views else F.lit(0)
-    made = F.array(*[F.struct((base + i).cast("int").alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, (m, _) in enumerate(first)])
-    rows, edges = prints.select(*carried, F.inline(made)), None
-    schema = ", ".join(f"{c} long" for c in carried) + ", way int, key long"
+    level = dict(enumerate(first))
+    made = F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, (m, _) in enumerate(first)])
+    rows, edges = prints.select("fp", F.inline(made)), None
 
     def deeper(below: dict[int, list[tuple[int, int]]]):
         """Rows of a crowded way under each of the ways below it."""
@@ -278,10 +264,9 @@ def links(prints: DataFrame, radius: int, block_rows: int, views: int = 0) -> Da
                 for w in np.unique(way).tolist():
                     part = batch.filter(pa.array(way == w))
                     fp = part.column("fp").to_numpy()
-                    kept = [part.column(c) for c in carried]
                     for name, mask in below[w]:
                         ways = pa.array(np.full(len(fp), name, np.int32))
-                        yield pa.RecordBatch.from_arrays([*kept, ways, pa.array(fp & np.int64(_signed(mask)))], names=[*carried, "way", "key"])
+                        yield pa.RecordBatch.from_arrays([part.column("fp"), ways, pa.array(fp & np.int64(_signed(mask)))], names=["fp", "way", "key"])
 
         return run
 
@@ -289,10 +274,10 @@ def links(prints: DataFrame, radius: int, block_rows: int, views: int = 0) -> Da
         hot = cut(rows.groupBy("way", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("way", "key"))
         number = hot.count()
         if not number:
-            more = block_edges(rows, radius, bool(views))
+            more = block_edges(rows, radius)
             return more if edges is None else edges.unionByName(more)
         known = F.broadcast(hot) if number <= HOT_BLOCKS else hot
-        more = block_edges(rows.join(known, ["way", "key"], "left_anti"), radius, bool(views))
+        more = block_edges(rows.join(known, ["way", "key"], "left_anti"), radius)
         edges = more if edges is None else edges.unionByName(more)
         below: dict[int, list[tuple[int, int]]] = {}
         under: dict[int, tuple[int, list[int]]] = {}
@@ -304,10 +289,10 @@ def links(prints: DataFrame, radius: int, block_rows: int, views: int = 0) -> Da
                 below[way].append((name, mask | m))
                 under[name] = (mask | m, f)
                 name += 1
-        crowded = rows.join(known, ["way", "key"], "left_semi").select(*carried, "way")
-        rows, level = cut(crowded.mapInArrow(deeper(below), schema)), under
+        crowded = rows.join(known, ["way", "key"], "left_semi").select("fp", "way")
+        rows, level = cut(crowded.mapInArrow(deeper(below), "fp long, way int, key long")), under
         if all(len(f) < radius + 2 for _, f in level.values()):
-            return edges.unionByName(block_edges(rows, radius, bool(views)))  # at most 2^(radius + 1) rows a block
+            return edges.unionByName(block_edges(rows, radius))  # at most 2^(radius + 1) rows a block
 
 
 # --- components -----------------------------------------------------------------
