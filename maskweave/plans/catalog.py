@@ -239,6 +239,19 @@ def _file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("path", "name", F.col("file_order").cast("bigint").alias("file_order"))
 
 
+def _ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The OCR rule on the whole text of every virtual page of all documents."""
+    made = ingest.virtual_pages(_documents(spark, sf_dir), ["doc_id"])
+    return made.select("doc_id", F.col("page").cast("bigint").alias("page"), ingest.needs_ocr(F.col("text")).alias("needs_ocr"))
+
+
+def _file_list_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers as files: those of nations up to 14 are listed, those from 10 on are new, so 10 to 14 are both."""
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", F.concat(F.lit("d/"), "s_name").alias("path"), F.col("s_suppkey").cast("int").alias("file_order"))
+    made = ingest.move_file(ingest.add_files(files.filter("s_nationkey <= 14"), files.filter("s_nationkey >= 10")), 1, 4)
+    return made.select("path", "name", F.col("file_order").cast("bigint").alias("file_order"))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redaction requests of corpora of three case files each, by in-row page lookup."""
     pages = dossier(spark, sf_dir).select((F.col("doc_id") % 500).alias("corpus_id"), F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"), F.lit(".pdf")).alias("file"), F.col("doc_id").cast("int").alias("page"), "text", F.lit(False).alias("used_ocr"))
@@ -273,7 +286,7 @@ def queries() -> dict[str, Query]:
         "resolved": _resolved, "entities": _entities, "mapping": _mapping, "mapping_spread": _mapping_spread, "mapping_resumed": _resumed, "mapping_entries": _mapping_entries, "rewritten": _rewritten,
         "reidentified": _reidentified, "stats": _stats, "analysis_counts": _counts, "panel": _panel, "review_add": _review_add, "review_replace": _review_replace, "review_remove": _review_remove,
         "review_toggle": _review_toggle, "review_toggle_category": _review_toggle_category, "review_merge": _review_merge, "highlight_segments": _segments, "search": _search, "corpus_text": _corpus,
-        "page_offsets": _page_offsets, "page_spans": _page_spans, "page_split": _page_split, "page_split_documents": _page_split_documents, "file_routing": _routing, "ocr_needed": _ocr, "file_list": _file_list, "redaction_requests": _requests, "hocr_words": _hocr,
+        "page_offsets": _page_offsets, "page_spans": _page_spans, "page_split": _page_split, "page_split_documents": _page_split_documents, "file_routing": _routing, "ocr_needed": _ocr, "ocr_needed_documents": _ocr_documents, "file_list": _file_list, "file_list_suppliers": _file_list_suppliers, "redaction_requests": _requests, "hocr_words": _hocr,
         "redaction_boxes": _boxes,
     }
     return out

@@ -127,6 +127,8 @@ SELECT doc_id, page, md5(piece) AS digest FROM s WHERE page > 0"""
     out["ocr_needed"] = r"SELECT item_id, strlen(regexp_replace(substr(text, 1, item_id % 40), '^\s+|\s+$', '', 'g')) < 20 AS needs_ocr FROM benchmark"
     out["file_list"] = """SELECT 'd/' || s_name AS path, s_name AS name, CAST(CASE s_suppkey - first WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE s_suppkey - first END AS BIGINT) AS file_order
 FROM supplier, (SELECT min(s_suppkey) AS first FROM supplier) WHERE s_suppkey <= 9"""
+    out["file_list_suppliers"] = """SELECT path, name, CAST(CASE WHEN o = 1 THEN 4 WHEN o BETWEEN 2 AND 4 THEN o - 1 ELSE o END AS BIGINT) AS file_order
+FROM (SELECT 'd/' || s_name AS path, s_name AS name, row_number() OVER (ORDER BY s_nationkey > 14, s_suppkey) - 1 AS o FROM supplier)"""
     case_files = _reviewed(
         ("email", "nir"),
         f"""SELECT k AS doc_id, string_agg(e'\\n\\n=== ' || 'f' || (id % 3) || '.pdf — page ' || id || e' ===\\n\\n' || t, '' ORDER BY id) AS text FROM (SELECT doc_id AS id, doc_id % 500 AS k, text AS t FROM ({STAGES['doc']})) GROUP BY k""",

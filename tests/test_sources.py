@@ -32,3 +32,19 @@ def test_pages_of_all_documents(spark):
     got = entry.queries()["page_split_documents"](spark, SF).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert any(not t.isascii() and len(t.encode()) > 3000 for _, t in docs)
+
+
+def test_ocr_rule_on_whole_pages_of_all_documents(spark):
+    space = "\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+    docs = duckdb.sql(f"select doc_id, text from read_parquet('{SF}/documents.parquet')").fetchall()
+    want = {(d, n, len(p.strip(space).encode()) < 20) for d, t in docs for n, p in enumerate(plain_pages(t), 1)}
+    got = entry.queries()["ocr_needed_documents"](spark, SF).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len({w[2] for w in want}) == 2
+
+
+def test_file_list_of_all_suppliers(spark):
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from read_parquet('{SF}/supplier.parquet')")
+    want = con.execute(entry.oracle_sql()["file_list_suppliers"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["file_list_suppliers"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and len(got) == con.execute("select count(*) from supplier").fetchone()[0]
