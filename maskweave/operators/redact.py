@@ -1,4 +1,7 @@
-"""Redaction boxes: OCR words from hOCR, fuzzy matching of an entity's words, padded boxes; painting behind a tool check."""
+"""Redaction boxes: OCR words from hOCR, fuzzy matching of an entity's words, padded boxes; page raster behind a tool check.
+
+The OCR call that makes hOCR, painting, re-making the PDF and concatenation are not built.
+"""
 
 from __future__ import annotations
 
