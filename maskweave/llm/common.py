@@ -7,6 +7,7 @@ decides each byte and multi-byte characters never need decoding.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python worker; bounds its memory whatever the Arrow batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 WHITESPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
@@ -37,13 +38,24 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is configured."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's; a temporary one only in local mode."""
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
+    folder, current = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        context.setCheckpointDir(set_by_cluster or tempfile.mkdtemp(prefix="checkpoints-"))
-    return set_by_cluster or context._jsc.sc().getCheckpointDir().get()
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir is not set: executors of a cluster need a folder that all of them reach")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return (folder or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def temporary(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,6 +64,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Write a large derived table to the shared folder as Parquet, of which later reads take the columns they need."""
+    path = f"{temporary(df.sparkSession, 'table')}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df under the column names c0, c1 and so on, so that no name of its own can clash with an operator's."""
+    return df.select(*[F.col(f"`{f.name}`").cast("string" if isinstance(f.dataType, T.NullType) else f.dataType).alias(f"c{k}") for k, f in enumerate(df.schema)])
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of a numbered table under their own names."""
+    return df.select(*[(F.lit(None) if isinstance(f.dataType, T.NullType) else F.col(f"c{k}").cast(f.dataType)).alias(f.name) for k, f in enumerate(like.schema)])
+
+
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     """Input columns whose names an operator's own columns need are left out (names compare without case)."""
     taken = {n.lower() for n in names}

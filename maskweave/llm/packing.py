@@ -144,7 +144,7 @@ def pack(
         for batch in batches:
             keys = batch.column(0)
             data, off = text_buffers(batch.column(1))
-            for a, b in chunks(off, 16 << 20):
+            for a, b in chunks(off, 4 << 20):
                 ids, at = vocab.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 for k in range(b - a):
                     packer.add(keys[a + k].as_py(), np.concatenate([ids[at[k] : at[k + 1]], end]))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.llm.common import CHUNK_BYTES, LOWER, NON_SPACE, cut, list_array, map_text, mix64, runs
+from maskweave.llm.common import LOWER, NON_SPACE, cut, list_array, map_text, mix64, ranges, runs
 
 ODD = 0x9E3779B97F4A7C15 | 1
 
@@ -38,20 +38,22 @@ KINDS[0x80:] = 64
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> np.ndarray:
     up = np.full(n, np.uint64(ODD))
     up[0] = 1
-    down = np.full(n, np.uint64(pow(ODD, -1, 1 << 64)))
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return np.multiply.accumulate(up)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of byte ranges, all at once from one running sum."""
-    size = max(CHUNK_BYTES * 2, 1 << (len(data) + 1).bit_length())
-    up, down = _powers(size)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    """Polynomial hashes of byte ranges, which follow each other; the table of powers is as long as the longest range."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    up = _powers(1 << max(10, int(length.max()).bit_length()))
+    at = ranges(starts, length)
+    place = at - np.repeat(starts, length)
+    terms = (data[at].astype(np.uint64) + np.uint64(1)) * up[place]
+    return mix64(np.add.reduceat(terms, np.concatenate([[0], np.cumsum(length)[:-1]])))
 
 
 def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

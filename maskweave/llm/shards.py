@@ -103,7 +103,7 @@ def materialise(
 
         for batch in batches:
             data, off = text_buffers(batch.column(0))
-            for a, b in chunks(off, 16 << 20):
+            for a, b in chunks(off, 4 << 20):
                 ids, at = vocab.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 closed = np.insert(ids.astype(np.uint16), at[1:], end[0])
                 held = np.concatenate([held, closed])
