@@ -83,7 +83,7 @@ def base_failed():
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    judged = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & F.col("rule").isNull()).alias("kept")
     )

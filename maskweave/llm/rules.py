@@ -3,11 +3,11 @@
 Sequential covering: a rule is a conjunction of thresholds, grown by information gain on one part of the
 labelled rows and pruned on the other; accepted rules become an ordered conditional expression.  Every step of
 growth is one aggregation of counts by (statistic, bin), of bounded size, so labelled rows never leave the
-executors.  Learning uses about `max_labelled` labelled rows at most, chosen by hash; statistics cover every
-row's whole text.
+executors.  Learning uses about `max_labelled` labelled rows at most, chosen by hash; their statistics alone are
+stored.  The rules then judge every row by its whole text in one narrow pass.
 
 Cases: null or empty text has no words (ratios are 0); unlabelled rows, null labels and null ids are not learnt
-from; several labels of one id count once, the smallest; with no labels the list is empty; an empty table
+from; several labels of one id count once, the smallest; rows that repeat an id are judged each by its own text; with no labels the list is empty; an empty table
 gives no rows; clashing columns are replaced.
 """
 
@@ -18,7 +18,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, drop_clashing
+from maskweave.llm.common import cut, drop_clashing, numbered, restored
 
 SPACE = r"[\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks"]
@@ -140,13 +140,32 @@ def rejected(rules: list[list[tuple[str, str, float]]]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 200_000, keep: list[str] | None = None) -> DataFrame:
-    """Kept columns, statistics, and rule: the first rule that rejects the document, else null."""
-    stats = cut(statistics(docs, text_col, [id_col] if keep is None else keep))
-    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((1 - F.min(label_col)).cast("int").alias("bad"))
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str | None = None, max_labelled: int = 200_000
+) -> list[list[tuple[str, str, float]]]:
+    """Rules learnt from the statistics of about `max_labelled` labelled rows at most."""
+    own = label_id_col or id_col
+    marks = labels.filter(F.col(own).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(own).alias("__id")).agg((1 - F.min(label_col)).cast("int").alias("bad"))
     total = marks.count()
-    share = min(1.0, max_labelled / total) if total else 0.0
+    if not total:
+        return []
+    share = min(1.0, max_labelled / total)
     marks = marks.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = stats.join(marks, F.col(id_col) == F.col("__id")) if total else None
-    found = learn(rows, id_col) if total else []
-    return stats.withColumn("rule", rejected(found))
+    # about max_labelled rows of two numbers
+    chosen = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t")).join(F.broadcast(marks), "__id")
+    return learn(cut(statistics(chosen, "__t", ["__id", "bad"])), "__id")
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """Kept columns (all by default), statistics, and rule: the first rule that rejects the document, else null."""
+    rules = fit(docs, labels, id_col, text_col, **options)
+    return statistics(docs, text_col, keep).withColumn("rule", rejected(rules))
+
+
+def kept(docs: DataFrame, labels: DataFrame, failed: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that a rule rejects or of which `failed`, over the statistics, holds; each row is judged by its own text."""
+    plain, names = numbered(docs), docs.columns
+    judged = judge(plain, labels, f"c{names.index(id_col)}", f"c{names.index(text_col)}", label_id_col=id_col, **options)
+    # a filter does not move below a row number, where it would count everything anew for each mention
+    good = judged.withColumn("__row", F.monotonically_increasing_id()).filter(F.col("rule").isNull() & ~failed & (F.col("__row") >= 0))
+    return restored(good, docs)
