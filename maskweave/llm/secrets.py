@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, drop_clashing
+from maskweave.llm.common import cut, drop_clashing, numbered, restored, table
 
 #: Base kinds in the order that breaks ties of start: pattern, group whose length counts, least length.
 BASE = {
@@ -69,49 +69,73 @@ def _near(parts: DataFrame, others: DataFrame, reach: int) -> DataFrame:
     return parts.join(spread, (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("c2")) & (F.abs(F.col("start") - F.col("s2")) <= reach), "left_semi")
 
 
-def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns, the text's digest, its base spans and its weak candidates outside those."""
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    made = base.withColumns({"__key": F.sha2(text, 256), "__base": F.sort_array(F.concat(*[spans(text, k) for k in BASE])), "__weak": F.concat(*[spans(text, k) for k in WEAK])})
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with its base spans, its weak candidates outside those, and the text's digest where there are any."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    made = docs.withColumns({"__base": F.sort_array(F.concat(*[spans(text, k) for k in BASE])), "__weak": F.concat(*[spans(text, k) for k in WEAK])})
     clear = F.filter("__weak", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return made.drop("__text").withColumn("__weak", F.when(F.size("__weak") > 0, clear).otherwise(F.col("__weak")))
+    made = made.withColumn("__weak", F.when(F.size("__weak") > 0, clear).otherwise(F.col("__weak")))
+    return made.withColumn("__key", F.when(F.size("__weak") > 0, F.sha2(text, 256)))
 
 
 def link(scanned: DataFrame, reach: int) -> DataFrame:
     """(key, linked): the weak spans of each text that have their complement near."""
-    texts = scanned.filter(F.size("__weak") > 0).select(F.col("__key").alias("key"), F.concat("__base", "__weak").alias("parts")).dropDuplicates(["key"])
+    texts = scanned.filter("__key is not null").select(F.col("__key").alias("key"), F.concat("__base", "__weak").alias("parts")).dropDuplicates(["key"])
     parts = texts.select("key", F.inline("parts")).withColumn("cell", F.floor(F.col("start") / reach))
     parts = cut(parts.withColumn("role", F.create_map(*[F.lit(x) for p in ROLES.items() for x in p])[F.col("kind")]))
     weak, of = parts.filter(F.col("kind").isin(*WEAK)), lambda role: parts.filter(F.col("role") == role)
     kept = _near(weak.filter("role = 'secret'"), of("identifier"), reach)
     kept = kept.unionByName(_near(weak.filter("role = 'identifier'"), of("secret"), reach))
     kept = kept.unionByName(_near(_near(weak.filter("role = 'endpoint'"), of("identifier"), reach), of("secret"), reach))
-    return kept.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("linked"))
+    return cut(kept.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("linked")))
+
+
+def linked_rows(scanned: DataFrame, reach: int) -> DataFrame:
+    """Scanned rows with `__linked`; only rows with weak candidates meet the links."""
+    none = F.array().cast(SPAN)
+    some = scanned.filter("__key is not null").join(link(scanned, reach), F.col("__key") == F.col("key"), "left").drop("key")
+    some = some.withColumn("__linked", F.coalesce(F.col("linked").cast(SPAN), none)).drop("linked")
+    return scanned.filter("__key is null").withColumn("__linked", none).unionByName(some)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", reach: int = 400, keep: list[str] | None = None) -> DataFrame:
-    """Kept columns with base_spans, linked_spans and secret_spans (both), sorted, and the text's digest secret_key."""
-    names = ["base_spans", "linked_spans", "secret_spans", "secret_key"]
-    docs = drop_clashing(docs, names) if keep is None else docs
-    scanned = cut(scan(docs, text_col, keep if keep is not None else [c for c in docs.columns if c != text_col]))
-    linked = link(scanned, reach)
-    out = scanned.join(linked, F.col("__key") == F.col("key"), "left")
-    empty = F.coalesce(F.col("linked").cast(SPAN), F.array().cast(SPAN))
-    out = out.withColumns({"base_spans": F.col("__base"), "linked_spans": empty, "secret_key": F.col("__key")})
-    return out.withColumn("secret_spans", F.sort_array(F.concat("base_spans", "linked_spans"))).drop("__base", "__weak", "__key", "key", "linked")
+    """Kept columns (by default all but the text) with base_spans, linked_spans and secret_spans (both), sorted."""
+    names = ["base_spans", "linked_spans", "secret_spans"]
+    keep = [c for c in drop_clashing(docs, names).columns if c != text_col] if keep is None else keep
+    scanned = cut(scan(numbered(docs), f"c{docs.columns.index(text_col)}").select(*[f"c{docs.columns.index(c)}" for c in keep], "__base", "__weak", "__key"))
+    out = linked_rows(scanned, reach)
+    made = [F.col("__base").alias("base_spans"), F.col("__linked").alias("linked_spans"), F.sort_array(F.concat("__base", "__linked")).alias("secret_spans")]
+    return out.select(*[F.col(f"c{docs.columns.index(c)}").alias(c) for c in keep], *made)
 
 
-def mask(docs: DataFrame, text_col: str = "text", reach: int = 400, marker: str = "[SECRET]") -> DataFrame:
-    """docs with every secret span of the text replaced by the marker; all columns and rows stay."""
-    found = find_secrets(docs, text_col, reach, []).filter(F.size("secret_spans") > 0).select("secret_key", "secret_spans").dropDuplicates(["secret_key"])
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.withColumn("__key", F.sha2(text, 256)).join(found, F.col("__key") == F.col("secret_key"), "left")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+def replaced(text: Column, spans_: Column, marker: str) -> Column:
+    """The text with a marker in place of each run of overlapping spans, which are sorted.
+
+    Pieces are cut from an encoding of equal width, so each costs its own length wherever it lies.
+    """
+    gap = "struct<at:bigint,out:array<struct<a:bigint,b:bigint>>>"
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out")).cast(gap)
 
     def step(acc: Column, x: Column) -> Column:
-        lead = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(marker))).otherwise(acc["out"])
-        return F.struct(lead.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+        before = F.array(F.struct(acc["at"].alias("a"), x["start"].alias("b")))
+        out = F.when((x["start"] >= acc["at"]) & ((x["start"] > acc["at"]) | (x["start"] == 0)), F.concat(acc["out"], before)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out")).cast(gap)
+
+    end = F.length(text).cast("bigint")
+    gaps = F.aggregate(spans_, zero, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), end.alias("b")))))
+    wide = F.encode(text, "UTF-32")
+    piece = lambda w: F.transform(gaps, lambda g: F.decode(F.substr(w, (g["a"] * 4 + 1).cast("int"), ((g["b"] - g["a"]) * 4).cast("int")), "UTF-32"))
+    # a one-element transform evaluates its argument once
+    return F.array_join(F.get(F.transform(F.array(wide), piece), F.lit(0)), marker)
 
-    masked = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    return rows.withColumn(text_col, F.when(F.col("secret_spans").isNotNull(), masked).otherwise(F.col(f"`{text_col}`"))).drop("__key", "secret_key", "secret_spans")
+
+def mask(docs: DataFrame, text_col: str = "text", reach: int = 400, marker: str = "[SECRET]") -> DataFrame:
+    """docs with every secret span of the text replaced by the marker; all columns and rows stay, in any number of copies.
+
+    The scanned rows are stored once with their texts; only those with weak candidates are shuffled.
+    """
+    name = f"c{docs.columns.index(text_col)}"
+    rows = linked_rows(table(scan(numbered(docs), name)), reach)
+    found = F.sort_array(F.concat("__base", "__linked"))
+    masked = F.when(F.size("__base") + F.size("__linked") > 0, replaced(F.col(name).cast("string"), found, marker)).otherwise(F.col(name))
+    return restored(rows.withColumn(name, masked), docs)
