@@ -2,12 +2,13 @@
 
 Features of a text are its lower-cased words, pairs of neighbouring words, word shapes (which kinds of
 characters a word has, and whether it repeats the word before) and pairs of shapes, each hashed to one of
-2^`bits` places and weighing 1 / sqrt(words).  Training takes at most about `max_train` labelled rows, chosen
-by hash; `shards` learners see them in hash order, and their weights are averaged over `rounds` rounds.  A
-score is the logistic of a sparse dot product over the whole text.
+2^`bits` places and weighing 1 / sqrt(words).  Training takes at most about `max_train` labelled ids, chosen
+by hash; `shards` learners see them in hash order, `epochs` times, and their weights are averaged over `rounds`
+rounds.  A score is the logistic of a sparse dot product over the whole text.
 
 Cases: null or empty text scores by the bias alone; unlabelled rows and null labels are not learnt from;
-several labels of one id count once, the largest; with no labels every score is 0.5; an empty table gives no
+several labels of one id count once, the largest; ids may be of any type, and all rows that repeat a labelled id
+are learnt from; with no labels every score is 0.5; an empty table gives no
 rows; clashing columns are replaced.
 """
 
@@ -103,7 +104,7 @@ class Ftrl:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trained: Column | None, bits: int, max_train: int, shards: int, rounds: int
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trained: Column | None, bits: int, max_train: int, shards: int, rounds: int, epochs: int
 ) -> np.ndarray:
     """Weights, the bias last."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -126,8 +127,8 @@ def train(
         return fn
 
     fields = [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("weight", T.DoubleType())]
-    rows = map_text(chosen, "__t", fields, make, ["__id", "__label"]).dropDuplicates(["__id"])
-    rows = cut(rows.withColumn("shard", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(shards))))
+    chosen = chosen.select("__label", "__t", F.xxhash64("__id", "__t", F.lit(2)).alias("order"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(shards)).alias("shard"))
+    rows = cut(map_text(chosen, "__t", fields, make, ["__label", "order", "shard"]))
     sums = np.zeros((1 << bits) + 1)
     for _ in range(rounds):
         given = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), sums.astype(np.float32)))
@@ -135,14 +136,14 @@ def train(
         def learn(part: pd.DataFrame) -> pd.DataFrame:
             model = Ftrl(bits)
             model.start(given.value[0].astype(float), given.value[1].astype(float))
-            part = part.assign(order=mix64(part["__id"].astype("int64").to_numpy().astype(np.uint64))).sort_values("order")
+            part = part.sort_values(["order", "__label"])
             examples = []
             for places, weight, label in zip(part["places"], part["weight"], part["__label"], strict=True):
                 at, count = np.unique(np.append(places, 1 << bits), return_counts=True)
                 value = count * weight
                 value[-1] = 1.0
                 examples.append((at, value, float(label)))
-            for _ in range(max(1, min(8, 4000 // len(examples)))):  # a short sample is gone over again
+            for _ in range(epochs):
                 for example in examples:
                     model.learn(*example)
             w, n = model.weights().astype("<f4"), model.n.astype("<f4")
@@ -189,7 +190,8 @@ def classify(
     max_train: int = 16_000,
     shards: int = 8,
     rounds: int = 2,
+    epochs: int = 4,
 ) -> DataFrame:
     """(id, score, predicted) of every document."""
-    weights = train(docs, labels, id_col, text_col, label_col, trained, bits, max_train, shards, rounds)
+    weights = train(docs, labels, id_col, text_col, label_col, trained, bits, max_train, shards, rounds, epochs)
     return score(docs, weights, bits, text_col, [id_col]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
