@@ -44,7 +44,8 @@ def domain_of(host: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, null if none does.  rules: (verdict, host, path)."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
+    # tested from the last to the first: longest first, then in the order given
+    for kind, h, p in reversed(sorted(rules, key=lambda r: -len(r[1]) - len(r[2]))):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(kind)).otherwise(verdict)
     return name, verdict
@@ -57,9 +58,8 @@ def _posterior(level: DataFrame, prior: str) -> DataFrame:
     fit = level.agg(
         F.sum(F.col("n") * (rate - F.col(prior)) ** 2).alias("spread"), F.sum(expected).alias("noise"), F.sum(F.col("n") * expected).alias("scale")
     )
-    # E[sum n (rate - m)^2] = sum m(1-m) (1 + (n - 1) / (strength + 1))
-    excess = (F.col("spread") - F.col("noise")) / F.greatest(F.col("scale") - F.col("noise"), F.lit(1e-9))
     fit = fit.first()  # one row
+    # E[sum n (rate - m)^2] = sum m(1-m) (1 + (n - 1) / (strength + 1))
     excess = ((fit.spread or 0.0) - (fit.noise or 0.0)) / max((fit.scale or 0.0) - (fit.noise or 0.0), 1e-9)
     strength = min(1000.0, max(2.0, 1 / max(excess, 1e-6) - 1))
     return level.withColumn("alpha", strength * F.col(prior) + F.col("bad")).withColumn("beta", strength * (1 - F.col(prior)) + F.col("n") - F.col("bad"))
