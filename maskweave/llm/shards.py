@@ -9,7 +9,8 @@ global slot; slots are dense, and slot s lies at (s - first) * stride in its sha
 sequential and resumable from any slot.  Files are written under a temporary name and renamed, so a task that
 is run again replaces its own output.
 
-Cases: null text is the closing id alone; an empty table gives no shard; repeated rows are written once each.
+Cases: null text is the closing id alone; an empty table gives no shard; repeated rows are written once each; an
+id that `id_bytes` cannot hold, or more than 2^24 sequences in a partition, is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import chunks, cut, mix64, shared_folder, text_buffers
+from maskweave.llm.common import chunks, cut, mix64, temporary, text_buffers
 from maskweave.llm.tokens import Vocabulary
 
 PER_PARTITION = 1 << 24
@@ -55,14 +56,21 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def put(folder: str, name: str, write) -> None:
-    """Write a file under a temporary name, then rename it over any earlier attempt's."""
-    store, base = _store(folder)
-    store.create_dir(base, recursive=True)
-    temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary, compression=None) as f:
-        write(f)
-    store.move(temporary, f"{base}/{name}")
+class Upload:
+    """A file that grows under a temporary name and replaces any earlier attempt's when it is done."""
+
+    def __init__(self, folder: str) -> None:
+        self.store, self.base = _store(folder)
+        self.store.create_dir(self.base, recursive=True)
+        self.temporary = f"{self.base}/.{uuid.uuid4().hex}"
+        self.file = self.store.open_output_stream(self.temporary, compression=None)
+
+    def write(self, data) -> None:
+        self.file.write(data)
+
+    def done(self, name: str) -> None:
+        self.file.close()
+        self.store.move(self.temporary, f"{self.base}/{name}")
 
 
 def materialise(
@@ -75,26 +83,32 @@ def materialise(
     pad_id: int = 0,
     key: int = 20240229,
     shards: int | None = None,
+    id_bytes: int = 2,
 ) -> DataFrame:
     """Rows (slot, shard, shard_offset, permuted, source_index, n_tokens, crc32, path), one per sequence.
 
     shards: as many as the input has partitions by default, so that a shard holds about a partition's ids.
+    id_bytes: 2 for vocabularies of up to 65,536 ids, 4 for larger ones.
     """
-    spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    if id_bytes not in (2, 4) or max(end_id, pad_id) >> 8 * id_bytes:
+        raise ValueError("ids take 2 or 4 bytes, and the closing and padding ids must fit")
+    kind = np.dtype(f"<u{id_bytes}")
+    folder = folder or temporary(docs.sparkSession, "shards")
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"))
     parts = max(1, source.rdd.getNumPartitions())
     size, shards = parts * PER_PARTITION, shards or parts
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, number = Vocabulary(vocabulary), TaskContext.get().partitionId() * PER_PARTITION
-        held, end = np.zeros(0, np.uint16), np.array([end_id], np.uint16)
+        held, end = np.zeros(0, kind), np.array([end_id], kind)
 
         def rows(flat: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            if number % PER_PARTITION + len(counts) > PER_PARTITION:
+                raise ValueError(f"over {PER_PARTITION} sequences in a partition: repartition the input")
             index = np.arange(number, number + len(counts), dtype=np.uint64)
             moved = permute(index, size, key)
-            off = np.arange(len(counts) + 1, dtype=np.int32) * (length * 2)
-            ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off), pa.py_buffer(flat.astype("<u2"))])
+            off = np.arange(len(counts) + 1, dtype=np.int32) * (length * id_bytes)
+            ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(flat))])
             shard = (moved.astype(object) * shards // size).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array(shard.astype(np.int32)), pa.array(moved.astype(np.int64)), pa.array(index.astype(np.int64)), pa.array(counts.astype(np.int32)), ids],
@@ -105,27 +119,24 @@ def materialise(
             data, off = text_buffers(batch.column(0))
             for a, b in chunks(off, 4 << 20):
                 ids, at = vocab.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                closed = np.insert(ids.astype(np.uint16), at[1:], end[0])
+                if len(ids) and int(ids.max()) >> 8 * id_bytes:
+                    raise ValueError(f"the vocabulary has ids that {id_bytes} bytes cannot hold")
+                closed = np.insert(ids.astype(kind), at[1:], end[0])
                 held = np.concatenate([held, closed])
                 whole = len(held) // length
                 yield rows(held[: whole * length], np.full(whole, length))
                 number += whole
                 held = held[whole * length :]
         if len(held):
-            yield rows(np.concatenate([held, np.full(length - len(held), pad_id, np.uint16)]), np.array([len(held)]))
+            yield rows(np.concatenate([held, np.full(length - len(held), pad_id, kind)]), np.array([len(held)]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard; a shard's rows all lie in this task."""
-        now, parts, notes = None, [], []
+        """Rows come sorted by shard; a shard's rows all lie in this task and go to its file one by one."""
+        now, file, notes = None, None, []
 
         def flush() -> pa.RecordBatch:
             path = f"shard-{now:06d}.bin"
-
-            def body(f) -> None:
-                for p in parts:
-                    f.write(p)
-
-            put(folder, path, body)
+            file.done(path)
             cols = list(zip(*notes, strict=True))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip([*cols, range(len(notes)), [f"{folder}/{path}"] * len(notes)], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()], strict=True)],
@@ -137,8 +148,8 @@ def materialise(
                 if row[0] != now:
                     if notes:
                         yield flush()
-                    now, parts, notes = row[0], [], []
-                parts.append(row[4])
+                    now, file, notes = row[0], Upload(folder), []
+                file.write(row[4])
                 notes.append((*row[:4], zlib.crc32(row[4])))
         if notes:
             yield flush()
@@ -149,14 +160,14 @@ def materialise(
     # one row per shard, `shards` at most
     first = notes.groupBy("shard").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
     return notes.join(F.broadcast(first.drop("n")), "shard").select(
-        (F.col("first") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * length * 2).alias("shard_offset"), "permuted", "source_index", "n_tokens", "crc32", "path"
+        (F.col("first") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * length * id_bytes).alias("shard_offset"), "permuted", "source_index", "n_tokens", "crc32", "path"
     )
 
 
-def read_slot(path: str, offset: int, length: int = 2048) -> np.ndarray:
+def read_slot(path: str, offset: int, length: int = 2048, id_bytes: int = 2) -> np.ndarray:
     """The ids at one slot, by position alone."""
     folder, _, name = path.rpartition("/")
     store, base = _store(folder)
     with store.open_input_file(f"{base}/{name}") as f:
         f.seek(offset)
-        return np.frombuffer(f.read(length * 2), "<u2")
+        return np.frombuffer(f.read(length * id_bytes), f"<u{id_bytes}")

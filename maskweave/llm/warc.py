@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import cut, shared_folder
-from maskweave.llm.shards import _store, put
+from maskweave.llm.common import cut, temporary
+from maskweave.llm.shards import Upload, _store
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Tasks that read bundles back.
+READERS = 20_000
 INDEX = "record_id string, bundle string, frame int, frame_offset long, frame_size long, record_offset long, record_length long"
 
 
@@ -87,7 +88,8 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, min_revisit_bytes: in
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     keys = cut(pages.select(F.col(f"`{id_col}`").alias("__id"), F.sha1(payload.cast("binary")).alias("__sha"), F.octet_length(payload).alias("__n")))
     keys = keys.filter(F.col("__n") >= min_revisit_bytes).drop("__n")
-    leaders = keys.groupBy("__sha").agg(F.max("__id").alias("__to"), F.count("*").alias("__c")).filter("__c > 1").drop("__c")
+    # stored, so that the join below has a shuffle on either side and Spark can split a digest that very many records share
+    leaders = cut(keys.groupBy("__sha").agg(F.max("__id").alias("__to"), F.count("*").alias("__c")).filter("__c > 1").drop("__c"))
     return keys.join(leaders, "__sha").filter("not __id <=> __to").distinct()
 
 
@@ -103,7 +105,7 @@ def write_bundles(
     level: int = 3,
 ) -> DataFrame:
     """Write every row as a record; the result is the index of all records."""
-    folder = folder or f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder or temporary(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     source = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").cast("string").alias("__url"), payload.alias("__html"))
     source = source.withColumn("__sha", F.sha1(F.col("__html").cast("binary")))
@@ -128,12 +130,10 @@ def write_bundles(
             nonlocal count, frames, sizes, notes
             name = f"part-{part:06d}-{count:04d}.warc.zst"
 
-            def body(f) -> None:
-                for x in frames:
-                    f.write(x)
-                f.write(seek_table(sizes))
-
-            put(folder, name, body)
+            file = Upload(folder)
+            for x in [*frames, seek_table(sizes)]:
+                file.write(x)
+            file.done(name)
             c = list(zip(*notes, strict=True))
             made = pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip([c[0], [f"{folder}/{name}"] * len(notes), *c[1:]], [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4], strict=True)],
@@ -186,8 +186,9 @@ def read_bundles(index: DataFrame, id_type: str = "bigint") -> DataFrame:
                         kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
-    bundles = index.select("bundle").distinct()
-    out = bundles.mapInArrow(read, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
+    bundles = cut(index.select("bundle").distinct())
+    # a bundle a task; up to READERS tasks
+    out = bundles.repartition(max(1, min(bundles.count(), READERS))).mapInArrow(read, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(id_type)
     return out.withColumns({"record_id": number("record_id"), "refers_to": number("refers_to")})
 
