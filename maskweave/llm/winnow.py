@@ -8,8 +8,9 @@ fingerprints finds it: every shared span of at least `window` words is met.  A h
 windows around it, word number by word number, and marking all words inside those that match.  Items shorter
 than a window lie below that guarantee; runs of their length are looked up directly.
 
-Items travel in blocks of at most `block_bytes` of text, a bound that is checked by summing sizes first; each
-block is one pass over the documents, so no document ever moves.
+Items travel in blocks of at most `block_bytes` of text (a longer item stands alone), sizes that are summed before
+anything is collected; each block is one pass over the documents, so no document ever moves.  A worker builds a
+block once.
 
 Cases: null text has no words; items without words or null items never occur; a repeated item counts once per
 item id; a null item id is left out; empty documents or items give zero hits; clashing columns are replaced.
@@ -17,6 +18,7 @@ item id; a null item id is left out; empty documents or items give zero hits; cl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +39,12 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return binary_array(LOWER[data[mask]], np.concatenate([[0], np.cumsum(ends - starts)])), first
 
 
-def gram_hash(codes: np.ndarray, k: int) -> np.ndarray:
+def gram_hash(codes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of the k numbers from each position on; callers mask positions near a row's end."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = mix64(codes.astype(np.int64).astype(np.uint64))
+    base = mix64(codes.astype(np.int64).astype(np.uint64) + np.uint64(salt << 40))
     out = base[:n].copy()
     for j in range(1, k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + base[j : j + n]
@@ -77,7 +79,7 @@ class Block:
         data, off = text_buffers(pa.array([t for _, t in items], pa.large_string()))
         toks, first = words(data, off)
         self.vocab = pc.unique(toks)
-        codes = pc.index_in(toks, self.vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = self.codes = pc.index_in(toks, self.vocab).to_numpy(zero_copy_only=False).astype(np.int32)
         self.names = sorted({i for i, _ in items})
         rank = {x: j for j, x in enumerate(self.names)}
         owner = np.array([rank[i] for i, _ in items], np.int64)
@@ -95,17 +97,24 @@ class Block:
             if len(at):
                 self.tables[size] = self._table(codes, at, owner[row[at]], size)
 
-    def _table(self, codes: np.ndarray, at: np.ndarray, owner: np.ndarray, size: int):
-        """Distinct runs: sorted hash, their numbers, and the items of each as offsets and values."""
-        rows = codes[at[:, None] + np.arange(size)]
-        distinct, which = np.unique(rows, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([which.reshape(-1), owner], 1), axis=0)
-        hashes = gram_hash(distinct.reshape(-1), size)[::size] if size else None
-        order = np.argsort(hashes, kind="stable")
-        if len(hashes) > 1 and (hashes[order][1:] == hashes[order][:-1]).any():
-            raise ValueError("two windows share a hash")
-        offsets = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
-        return hashes[order], order, distinct, offsets, pairs[:, 1]
+    def _table(self, codes: np.ndarray, at: np.ndarray, owner: np.ndarray, size: int) -> tuple:
+        """Distinct runs: salt, sorted hashes, a place of each, and the items of each as offsets and values.
+
+        Another salt is taken where two runs share a hash, so a hash stands for one run.
+        """
+        salt = 0
+        while True:
+            hashes = gram_hash(codes, size, salt)[at]
+            order = np.argsort(hashes, kind="stable")
+            fresh = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+            lead = at[order][np.flatnonzero(fresh)]
+            number = np.cumsum(fresh) - 1
+            if all((codes[at[order] + j] == codes[lead[number] + j]).all() for j in range(size)):
+                break
+            salt += 1
+        pairs = np.unique(number * np.int64(len(self.names)) + owner[order])
+        offsets = np.searchsorted(pairs, np.arange(len(lead) + 1) * np.int64(len(self.names)))
+        return salt, hashes[order][fresh], lead, offsets, pairs % len(self.names)
 
     def find(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first word of each row, hit flag per word, rows and items of the distinct pairs found)."""
@@ -130,12 +139,11 @@ class Block:
             at = at[at + size <= last[at]] if len(at) else at
             if not len(at):
                 continue
-            hashes, order, distinct, offsets, owned = table
-            grams = codes[at[:, None] + np.arange(size)]
-            slot = np.minimum(np.searchsorted(hashes, gram_hash(grams.reshape(-1), size)[::size]), len(hashes) - 1)
-            number = order[slot]
-            same = (distinct[number] == grams).all(1)
-            at, number = at[same], number[same]
+            salt, hashes, lead, offsets, owned = table
+            number = np.minimum(np.searchsorted(hashes, gram_hash(codes[at[:, None] + np.arange(size)].reshape(-1), size, salt)[::size]), len(hashes) - 1)
+            for j in range(size):
+                same = codes[at + j] == self.codes[lead[number] + j]
+                at, number = at[same], number[same]
             np.add.at(hit_edges, at, 1)
             np.add.at(hit_edges, at + size, -1)
             row = np.searchsorted(first, at, "right") - 1
@@ -150,6 +158,17 @@ class Block:
         return first, hit, pairs[:, 0], pairs[:, 1]
 
 
+_KEPT: dict[str, Block] = {}
+
+
+def _kept(name: str, make) -> Block:
+    """The block of that name; a worker makes it once and keeps it over its tasks, one at a time."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -159,13 +178,19 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks whose total text is checked to stay under block_bytes (a longer item stands alone)."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("i is not null and t is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
+    size = F.sum(F.octet_length("t") + F.octet_length("i") + 64)
+    total = items.agg(size).first()[0] or 0
     if total <= block_bytes:
         if total:
             yield [tuple(r) for r in items.collect()]  # at most block_bytes
         return
     number = int(2 * total // block_bytes) + 1
-    dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(number)))
+    while True:
+        dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(number)))
+        most = dealt.groupBy("b").agg(size.alias("n"), F.count("*").alias("c")).filter("c > 1").agg(F.max("n")).first()[0] or 0
+        if most <= block_bytes:
+            break
+        number *= 2
     for b in range(number):
         if rows := [tuple(r) for r in dealt.filter(F.col("b") == b).select("i", "t").toLocalIterator()]:
             yield rows
@@ -196,9 +221,9 @@ def decontaminate(
     place = keep.index(text_col)
     blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
 
-    def one(made, first_pass: bool):
+    def one(made, first_pass: bool, name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(made.value, k, window)
+            block = _kept(name, lambda: Block(made.value, k, window))
             for batch in batches:
                 data, off = text_buffers(batch.column(place))
                 for a, b in chunks(off, CHUNK_BYTES):
@@ -220,7 +245,7 @@ def decontaminate(
 
     out = base
     for i, items in enumerate(blocks):
-        out = out.mapInArrow(one(docs.sparkSession.sparkContext.broadcast(items), not i), schema)
+        out = out.mapInArrow(one(docs.sparkSession.sparkContext.broadcast(items), not i, uuid.uuid4().hex), schema)
         if i + 1 < len(blocks):
             out = cut(out)  # one block's memory at a time
     return out
