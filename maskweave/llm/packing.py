@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.llm.common import chunks, cut, text_buffers
+from maskweave.llm.common import chunks, cut, table, text_buffers
 from maskweave.llm.tokens import Vocabulary
 
 #: Numbers of the second round's sequences start here, above any partition's own.
@@ -133,7 +133,7 @@ def pack(
 
     shape = to_arrow_schema(schema)
 
-    def table(rows: list[tuple], tail_of, keep: bool) -> pa.RecordBatch:
+    def batch_of(rows: list[tuple], tail_of, keep: bool) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
         data = [*cols[:7], [x.astype("<u4").tobytes() for x in cols[7]] if keep else [None] * len(rows), [tail_of] * len(rows)]
         return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(data, shape, strict=True)], schema=shape)
@@ -148,13 +148,13 @@ def pack(
                 ids, at = vocab.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 for k in range(b - a):
                     packer.add(keys[a + k].as_py(), np.concatenate([ids[at[k] : at[k + 1]], end]))
-                yield table(_rows(packer.out, number), None, with_ids)
+                yield batch_of(_rows(packer.out, number), None, with_ids)
                 number += len(packer.out)
                 packer.out = []
         tail = packer.merge()
-        yield table(_rows(packer.out, number), None, with_ids)
+        yield batch_of(_rows(packer.out, number), None, with_ids)
         if tail:
-            yield table(_rows([tail], number + len(packer.out)), part // merge, True)
+            yield batch_of(_rows([tail], number + len(packer.out)), part // merge, True)
 
     def second_round(key: tuple, tails: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(length, 1)
@@ -178,7 +178,7 @@ def pack(
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     pieces = source.mapInArrow(first_round, schema)
-    pieces = pieces if with_ids else cut(pieces)
+    pieces = table(pieces) if with_ids else cut(pieces)  # texts are tokenised once
     merged = pieces.filter("tail_of is not null").groupBy("tail_of").applyInPandas(second_round, schema)
     out = pieces.filter("tail_of is null").unionByName(merged).drop("tail_of")
     return out if with_ids else out.drop("ids")
