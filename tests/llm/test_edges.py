@@ -143,3 +143,106 @@ def test_learnt_rules_reject_junk(spark, folder):
     bad = [r for r in judged if r.quality == 0]
     assert sum(r.rule is not None for r in bad) / len(bad) > 0.6
     assert sum(r.rule is not None for r in judged if r.quality == 1) <= 2
+
+
+def test_classifier_against_plain_ftrl(spark):
+    """One learner, string ids that repeat with other texts, null ids, null and several labels."""
+    import math
+
+    texts = ["good words here", "good words there again", "bad!! ### BAD 12", "bad!! again again ###", None, "", "épée good", "only scored !!"]
+    ids = ["a", "b", "c", "c", "d", "e", "f", None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string").coalesce(1)
+    marks = {"a": 1, "b": 1, "c": 0, "d": 0, "f": 1}
+    labels = spark.createDataFrame([*marks.items(), ("a", 0), ("e", None), (None, 0)], "doc_id string, quality int")
+    order = {(r.doc_id, r.text): r.o for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(2)).alias("o")).collect()}
+    examples = []
+    for i, t in sorted(zip(ids, texts), key=lambda x: order[x]):
+        if i in marks:
+            counts, weight = brute.features(t, 12)
+            examples.append(({k: n * weight for k, n in counts.items()} | {1 << 12: 1.0}, marks[i]))
+    w = brute.ftrl(examples, 3)
+    got = quality.classify(docs, labels, bits=12, shards=1, rounds=1, epochs=3).collect()
+    for r, t in zip(got, texts, strict=True):
+        counts, weight = brute.features(t, 12)
+        s = sum(w.get(k, 0.0) * n for k, n in counts.items()) * weight + w[1 << 12]
+        assert abs(r.score - 1 / (1 + math.exp(-s))) < 1e-5, t
+
+
+def test_rules_against_plain_covering(spark):
+    """Growth by gain on one part, pruning on the other, as a plain loop does it."""
+    from math import log2
+
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for k in range(600):
+        bad = rnd.random() < 0.4
+        rows.append((k, int(bad), *[rnd.random() * (2 if bad and j in (0, 3) else 1) for j in range(len(rules.RATIOS))]))
+    table = spark.createDataFrame(rows, f"id long, bad int, {', '.join(r + ' double' for r in rules.RATIOS)}")
+    held = {r.id: r.h for r in table.select("id", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("h")).collect()}
+    found = rules.learn(table, "id", bins=6, max_rules=3)
+
+    def quantiles(values):
+        values = sorted(values)
+        return {values[max(0, -(-len(values) * i // 6) - 1)] for i in range(1, 6)}
+
+    cuts = [sorted(quantiles(r[2 + f] for r in rows) | quantiles(r[2 + f] for r in rows if r[1])) for f in range(len(rules.RATIOS))]
+    holds = lambda r, rule: all((r[2 + f] > cuts[f][c]) == above for f, above, c in rule)
+    left, want = rows, []
+    while len(want) < 3:
+        grow, rule = [r for r in left if not held[r[0]]], []
+        while len(rule) < 3:
+            now = [r for r in grow if holds(r, rule)]
+            n, p = len(now), sum(r[1] for r in now)
+            if p < 5 or p / n >= 0.999:
+                break
+            best = (0.0, None)
+            for f in range(len(cuts)):
+                for c in range(len(cuts[f])):
+                    for above in (False, True):
+                        part = [r for r in now if holds(r, [(f, above, c)])]
+                        good = sum(r[1] for r in part)
+                        if good >= 5 and len(part) < n:
+                            best = max(best, (good * (log2(good / len(part)) - log2(p / n)), (f, above, c)), key=lambda x: x[0])
+            if best[1] is None:
+                break
+            rule.append(best[1])
+        worth = []
+        for k in range(1, len(rule) + 1):
+            part = [r for r in left if held[r[0]] and holds(r, rule[:k])]
+            p = sum(r[1] for r in part)
+            if part and p / len(part) >= 0.95 and p >= 5:
+                worth.append((p * (2 * p / len(part) - 1), -k))
+        if not worth:
+            break
+        rule = rule[: -max(worth)[1]]
+        want.append([(rules.RATIOS[f], ">" if above else "<=", cuts[f][c]) for f, above, c in rule])
+        left = [r for r in left if not holds(r, rule)]
+    assert found == want and found
+
+
+def test_rules_of_equal_length_in_order(spark):
+    page = spark.createDataFrame([("http://a.b/c",)], "url string")
+    (row,) = hosts.judge(page, F.lit(0), [("block", "a.b", "/c"), ("allow", "a.b", "/c"), ("allow", "b", "/")]).collect()
+    assert (row.rule, row.verdict) == ("a.b/c", "block")
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    """Another salt is taken until each window has a hash of its own."""
+    import numpy as np
+    import pyarrow as pa
+
+    from maskweave.llm.common import text_buffers
+
+    real, salts = winnow.gram_hash, []
+
+    def poor(codes, k, salt=0):
+        salts.append(salt)
+        return real(codes, k, salt) if salt != 0 or k == 5 else real(codes, k) & np.uint64(3)
+
+    monkeypatch.setattr(winnow, "gram_hash", poor)
+    text = " ".join(f"w{k}" for k in range(40))
+    block = winnow.Block([("a", text), ("b", text[:60])], 5, 10)
+    _, hit, owner, item = block.find(*text_buffers(pa.array([text, "w1 w2 w3"])))
+    assert hit.tolist() == [True] * 40 + [False] * 3 and owner.tolist() == [0, 0] and max(salts) >= 1
