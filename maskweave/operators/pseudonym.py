@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskweave.functions.dialect import SPACE
 from maskweave.functions.validators import one_of, trim
 from maskweave.operators.patterns import CATEGORIES, PROFESSIONALS
-from maskweave.operators.spans import let, rows
+from maskweave.operators.spans import let, pieces, rows, sweep
 
 NAMES = tuple(c[0] for c in CATEGORIES)
 ENTITY = "struct<start:bigint,end:bigint,text:string,category:string,pseudonym:string,enabled:boolean>"
@@ -94,16 +94,11 @@ def mapping_json(entities: Column) -> Column:
 
 def rewrite(text: Column, entities: Column) -> Column:
     """The text with enabled entities replaced, from the left; one that begins inside another is passed over."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
-
-    def step(acc: Column, e: Column) -> Column:
-        free = e["start"] >= acc["at"]
-        grown = F.concat(acc["out"], F.array(piece(acc["at"], e["start"]), e["pseudonym"]))
-        return F.struct(F.when(free, e["end"]).otherwise(acc["at"]).alias("at"), F.when(free, grown).otherwise(acc["out"]).alias("out"))
-
     on = F.sort_array(F.filter(entities, lambda e: e["enabled"]))
-    done = F.aggregate(on, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+    last = F.struct(F.length(text).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), F.lit("").alias("pseudonym"))
+    ends = lambda kept: F.concat(F.transform(kept, lambda e: F.struct(e["start"], e["end"], e["pseudonym"])), F.array(last))
+    gaps = lambda kept: F.transform(kept, lambda e, i: F.struct(F.coalesce(F.get(kept, i - 1)["end"], F.lit(0).cast("bigint")).alias("a"), e["start"].alias("b"), e["pseudonym"].alias("p")))
+    done = F.array_join(pieces(text, let(ends(sweep(on)), gaps), lambda cut, g: F.concat(cut(g["a"], g["b"]), g["p"])), "")
     return F.when(F.size(on) > 0, done).otherwise(text)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskweave.operators.patterns import PRIORITY
-from maskweave.operators.spans import SPANS
+from maskweave.operators.spans import sweep
 
 
 def priority(category: Column) -> Column:
@@ -14,11 +14,5 @@ def priority(category: Column) -> Column:
 
 
 def resolve(spans: Column) -> Column:
-    keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("k1"), (-priority(x["category"])).alias("k2"), (x["start"] - x["end"]).alias("k3"), x["seq"].alias("k4"), x.alias("s")))
-    zero = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast(SPANS).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = x["k1"] >= acc["last"]
-        return F.struct(F.when(free, x["s"]["end"]).otherwise(acc["last"]).alias("last"), F.when(free, F.concat(acc["kept"], F.array(x["s"]))).otherwise(acc["kept"]).alias("kept"))
-
-    return F.aggregate(F.sort_array(keyed), zero, step, lambda acc: acc["kept"])
+    keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-priority(x["category"])).alias("k2"), (x["start"] - x["end"]).alias("k3"), x["seq"].alias("k4"), x["end"].alias("end"), x.alias("s")))
+    return F.transform(sweep(F.sort_array(keyed)), lambda x: x["s"])

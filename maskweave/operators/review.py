@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskweave.functions.validators import trim
 from maskweave.operators.pseudonym import ENTITY, key, label
 from maskweave.operators.refine import trim_particles
-from maskweave.operators.spans import SPANS, let
+from maskweave.operators.spans import SPANS, let, pieces, sweep
 
 MAX_GAP = 20
 
@@ -109,19 +109,18 @@ def merge(df: DataFrame, indices: Column, category: Column, text: str = "text",
 
 def segments(text: Column, entities: Column) -> Column:
     """array<struct<start, text, category>>: plain (null category) and marked stretches, joining to the text."""
-    kind = "array<struct<start:bigint,text:string,category:string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
-    piece = lambda a, b, c: F.struct(a.cast("bigint").alias("start"), F.substr(text, (a + 1).cast("int"), (b - a).cast("int")).alias("text"), c.cast("string").alias("category"))
+    end = F.length(text).cast("bigint")
+    mark = lambda a, b, c: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), c.cast("string").alias("c"))
+    none = F.lit(None)
 
-    def step(acc: Column, e: Column) -> Column:
-        free = e["start"] >= acc["at"]
-        lead = F.when(e["start"] > acc["at"], F.array(piece(acc["at"], e["start"], F.lit(None)))).otherwise(F.array().cast(kind))
-        grown = F.concat(acc["out"], lead, F.array(piece(e["start"], e["end"], e["category"])))
-        return F.struct(F.when(free, e["end"]).otherwise(acc["at"]).alias("at"), F.when(free, grown).otherwise(acc["out"]).alias("out"))
+    def bounds(kept: Column) -> Column:
+        before = lambda e, i: mark(F.coalesce(F.get(kept, i - 1)["end"], F.lit(0)), e["start"], none)
+        each = F.flatten(F.transform(kept, lambda e, i: F.array(before(e, i), mark(e["start"], e["end"], e["category"]))))
+        rest = mark(F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)), end, none)
+        return F.filter(F.concat(each, F.array(rest)), lambda b: b["c"].isNotNull() | (b["b"] > b["a"]))
 
-    end = F.length(text).cast("bigint")
-    close = lambda acc: F.when(acc["at"] < end, F.concat(acc["out"], F.array(piece(acc["at"], end, F.lit(None))))).otherwise(acc["out"])
-    return F.aggregate(F.filter(by_start(entities), lambda e: e["enabled"]), zero, step, close)
+    chosen = let(sweep(F.filter(by_start(entities), lambda e: e["enabled"])), bounds)
+    return pieces(text, chosen, lambda cut, b: F.struct(b["a"].alias("start"), cut(b["a"], b["b"]).alias("text"), b["c"].alias("category")))
 
 
 def panel(rows, keys: list[str]):

@@ -30,6 +30,36 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sweep(ordered: Column) -> Column:
+    """Of spans in order, those that start at or after the end of the last one taken.
+
+    The places taken are gathered in one string, which grows by a few bytes a span where an array would be copied whole.
+    """
+
+    def kept(spans: Column) -> Column:
+        places = F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i")))
+        zero = F.struct(F.lit(-1).cast("bigint").alias("last"), F.lit("").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            free = x["start"] >= acc["last"]
+            return F.struct(F.when(free, x["end"]).otherwise(acc["last"]).alias("last"), F.when(free, F.concat(acc["out"], F.lit(","), x["i"].cast("string"))).otherwise(acc["out"]).alias("out"))
+
+        out = F.aggregate(places, zero, step, lambda acc: F.substr(acc["out"], F.lit(2)))
+        at = F.when(out == "", F.array().cast("array<string>")).otherwise(F.split(out, ","))
+        return F.transform(at, lambda i: F.get(spans, i.cast("int")))
+
+    return let(ordered, kept)
+
+
+def pieces(text: Column, bounds: Column, made) -> Column:
+    """made(cut, b) of every element b of bounds, where cut(start, end) is that stretch of the text.
+
+    Stretches are cut from an encoding of equal width, so each costs its own length wherever it lies.
+    """
+    cut = lambda wide, a, b: F.decode(F.substr(wide, (a * 4 + 1).cast("int"), ((b - a) * 4).cast("int")), "UTF-32")
+    return let(F.encode(text, "UTF-32"), lambda wide: F.transform(bounds, lambda b: made(lambda x, y: cut(wide, x, y), b)))
+
+
 def rows(df, keys: list[str], column: str):
     """One row per span or entity.  The outer form keeps the optimiser from adding a filter that evaluates the array again."""
     made = df.select(*keys, F.inline_outer(column))

@@ -141,3 +141,21 @@ def test_numbering_goes_on(spark):
 def test_particles(spark, text, want):
     df = spark.createDataFrame([(text, [(0, len(text), text, "LIEU", 0)])], f"t string, s {spans.SPANS}")
     assert [x.text for x in df.select(refine.trim_particles(F.col("t"), F.col("s"))).first()[0]] == want
+
+
+def test_many_spans_in_one_text(spark):
+    """20,000 spans: the chain behind detection takes seconds, not minutes."""
+    import time
+
+    n = 20_000
+    text = "".join(f"{k % 1000:03d} a@b.fr é " for k in range(n))
+    size = len("000 a@b.fr é ")
+    kind = "array<struct<start:bigint,end:bigint,text:string,category:string,seq:bigint>>"
+    found = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * size + 4).cast("bigint").alias("start"), (i * size + 10).cast("bigint").alias("end"), F.lit("a@b.fr").alias("text"), F.lit("EMAIL").alias("category"), i.cast("bigint").alias("seq")))
+    row = spark.createDataFrame([(text,)], "text string").withColumn("spans", found.cast(kind))
+    began = time.time()
+    made = row.withColumn("kept", resolve.resolve(F.col("spans")))
+    made = made.withColumn("entities", F.transform("kept", lambda x: F.struct(x["start"], x["end"], x["text"], x["category"], F.lit("EMAIL_001").alias("pseudonym"), F.lit(True).alias("enabled"))))
+    out = made.select(F.size("kept").alias("n"), pseudonym.rewrite(F.col("text"), F.col("entities")).alias("t")).first()
+    assert out.n == n and out.t == text.replace("a@b.fr", "EMAIL_001")
+    assert time.time() - began < 60
