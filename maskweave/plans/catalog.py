@@ -35,6 +35,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text_anon", F.size("entities").cast("bigint").alias("n_entities"))
 
 
+def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis, with all patterns, of whole documents."""
+    made = analyse.pseudonymise(_documents(spark, sf_dir))
+    return made.select("doc_id", "text_anon", "mapping", F.size("entities").cast("bigint").alias("n_entities"))
+
+
 def _scan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(analyse.with_spans(dossier(spark, sf_dir), only=(name,)))
 
@@ -211,12 +217,6 @@ def _page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = _documents(spark, sf_dir).filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    made = ingest.virtual_pages(ascii_only, ["doc_id"])
-    return made.select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("digest"))
-
-
-def _page_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of all documents; cuts by bytes, which SQL on characters cannot follow."""
     made = ingest.virtual_pages(_documents(spark, sf_dir), ["doc_id"])
     return made.select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("digest"))
@@ -228,15 +228,7 @@ def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", ingest.needs_ocr(F.substr("text", F.lit(1), (F.col("item_id") % 40).cast("int"))).alias("needs_ocr"))
-
-
-def _file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    listed = part.filter("s_suppkey <= 5").select(F.concat(F.lit("d/"), "s_name").alias("path"), F.col("s_suppkey").cast("int").alias("file_order"))
-    new = part.filter("s_suppkey between 3 and 9").select(F.concat(F.lit("d/"), "s_name").alias("path"), F.col("s_suppkey").cast("int").alias("file_order"))
-    made = ingest.move_file(ingest.add_files(listed, new), 1, 4)
-    return made.select("path", "name", F.col("file_order").cast("bigint").alias("file_order"))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", ingest.needs_ocr(F.col("text")).alias("needs_ocr"))
 
 
 def _ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +237,7 @@ def _ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("page").cast("bigint").alias("page"), ingest.needs_ocr(F.col("text")).alias("needs_ocr"))
 
 
-def _file_list_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers as files: those of nations up to 14 are listed, those from 10 on are new, so 10 to 14 are both."""
     files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", F.concat(F.lit("d/"), "s_name").alias("path"), F.col("s_suppkey").cast("int").alias("file_order"))
     made = ingest.move_file(ingest.add_files(files.filter("s_nationkey <= 14"), files.filter("s_nationkey >= 10")), 1, 4)
@@ -276,7 +268,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {"flagship": flagship}
+    out: dict[str, Query] = {"flagship": flagship, "analysis_documents": analysis_documents}
     out |= {f"scan_{p.name}": partial(_scan, p.name) for p in PATTERNS}
     out |= {f"scan_{n}_documents": partial(_scan_table, n, "documents", "doc_id", "text") for n in QUICK}
     out |= {f"scan_{n}_pages": partial(_scan_table, n, "pages", "page_id", "html") for n in ("email", "phone")}
@@ -286,7 +278,7 @@ def queries() -> dict[str, Query]:
         "resolved": _resolved, "entities": _entities, "mapping": _mapping, "mapping_spread": _mapping_spread, "mapping_resumed": _resumed, "mapping_entries": _mapping_entries, "rewritten": _rewritten,
         "reidentified": _reidentified, "stats": _stats, "analysis_counts": _counts, "panel": _panel, "review_add": _review_add, "review_replace": _review_replace, "review_remove": _review_remove,
         "review_toggle": _review_toggle, "review_toggle_category": _review_toggle_category, "review_merge": _review_merge, "highlight_segments": _segments, "search": _search, "corpus_text": _corpus,
-        "page_offsets": _page_offsets, "page_spans": _page_spans, "page_split": _page_split, "page_split_documents": _page_split_documents, "file_routing": _routing, "ocr_needed": _ocr, "ocr_needed_documents": _ocr_documents, "file_list": _file_list, "file_list_suppliers": _file_list_suppliers, "redaction_requests": _requests, "hocr_words": _hocr,
+        "page_offsets": _page_offsets, "page_spans": _page_spans, "page_split": _page_split, "file_routing": _routing, "ocr_needed": _ocr, "ocr_needed_documents": _ocr_documents, "file_list": _file_list, "redaction_requests": _requests, "hocr_words": _hocr,
         "redaction_boxes": _boxes,
     }
     return out

@@ -117,17 +117,8 @@ UNION ALL SELECT doc_id, done, substr(text, done + 1), NULL FROM tail WHERE done
     offsets = f"SELECT conv_id, file, page, text, head, CAST(sum(length(head) + length(text)) OVER (PARTITION BY conv_id ORDER BY page) - length(text) AS BIGINT) AS \"offset\" FROM ({_pages_sql()})"
     out["page_offsets"] = f'SELECT conv_id, file, page, "offset" FROM ({offsets})'
     out["page_spans"] = f'''SELECT conv_id, file, page, "offset" AS "start", "offset" + length(text) + CASE WHEN lead(page) OVER (PARTITION BY conv_id ORDER BY page) IS NULL THEN 0 ELSE 2 END AS "end" FROM ({offsets})'''
-    out["page_split"] = r"""WITH RECURSIVE t AS (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-s AS (SELECT doc_id, text AS rest, CAST(0 AS BIGINT) AS page, '' AS piece FROM t
-  UNION ALL SELECT doc_id, substr(rest, n + 1), page + 1, substr(rest, 1, n) FROM (
-    SELECT *, CASE WHEN length(rest) <= 3000 THEN length(rest) WHEN contains(substr(rest, 1, 3000), chr(10)) THEN 3000 - instr(reverse(substr(rest, 1, 3000)), chr(10)) + 1 ELSE 3000 END AS n FROM s WHERE (page = 0 OR length(rest) > 0)))
-SELECT doc_id, page, md5(piece) AS digest FROM s WHERE page > 0"""
-    exts = "['PDF', 'txt', 'csv', 'html', 'DOCX', 'rtf', 'md'][page_id % 7 + 1]"
-    out["file_routing"] = f"""SELECT page_id, 'f' || page_id || '.' || {exts} AS name, lower({exts}) AS ext, CASE lower({exts}) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'rtf' THEN 'rtf' WHEN 'html' THEN 'unsupported' ELSE 'text' END AS kind FROM pages"""
-    out["ocr_needed"] = r"SELECT item_id, strlen(regexp_replace(substr(text, 1, item_id % 40), '^\s+|\s+$', '', 'g')) < 20 AS needs_ocr FROM benchmark"
-    out["file_list"] = """SELECT 'd/' || s_name AS path, s_name AS name, CAST(CASE s_suppkey - first WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE s_suppkey - first END AS BIGINT) AS file_order
-FROM supplier, (SELECT min(s_suppkey) AS first FROM supplier) WHERE s_suppkey <= 9"""
-    out["file_list_suppliers"] = """SELECT path, name, CAST(CASE WHEN o = 1 THEN 4 WHEN o BETWEEN 2 AND 4 THEN o - 1 ELSE o END AS BIGINT) AS file_order
+    out["ocr_needed"] = r"SELECT item_id, strlen(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 20 AS needs_ocr FROM benchmark"
+    out["file_list"] = """SELECT path, name, CAST(CASE WHEN o = 1 THEN 4 WHEN o BETWEEN 2 AND 4 THEN o - 1 ELSE o END AS BIGINT) AS file_order
 FROM (SELECT 'd/' || s_name AS path, s_name AS name, row_number() OVER (ORDER BY s_nationkey > 14, s_suppkey) - 1 AS o FROM supplier)"""
     case_files = _reviewed(
         ("email", "nir"),

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part documents pages benchmark conversations".split()
-CHECKED = ["flagship", "checksums", "entities", "mapping_resumed", "rewritten", "analysis_counts", "scan_siren", "scan_street", "scan_person_caps", "review_add", "highlight_segments", "page_split", "redaction_requests", "hocr_words"]
+CHECKED = ["flagship", "checksums", "entities", "mapping_resumed", "rewritten", "analysis_counts", "scan_siren", "scan_street", "scan_person_caps", "review_add", "highlight_segments", "resolved", "ocr_needed", "redaction_requests", "hocr_words"]
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,22 @@ def test_query_equals_sql(spark, duck, name):
     assert as_rows(got) == as_rows(want)
 
 
+def test_analysis_of_documents_can_be_undone(spark):
+    """All patterns over all documents: putting the originals back gives the texts."""
+    from pyspark.sql import functions as F
+
+    from maskweave.operators import pseudonym
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    made = entry.queries()["analysis_documents"](spark, SF)
+    back = pseudonym.reidentify(F.col("text_anon"), F.from_json("mapping", "map<string,string>"))
+    rows = docs.join(made.withColumn("back", back), "doc_id").select("text", "back", "n_entities").collect()
+    assert len(rows) == docs.count() and sum(r.n_entities for r in rows) > 0
+    # an original is one of the forms of its pseudonym, which differ in case and spaces only
+    plain = lambda t: "".join((t or "").lower().split())
+    assert all(plain(r.text) == plain(r.back) for r in rows)
+
+
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -29,7 +29,7 @@ def plain_pages(text, size=3000):
 def test_pages_of_all_documents(spark):
     docs = duckdb.sql(f"select doc_id, text from read_parquet('{SF}/documents.parquet')").fetchall()
     want = {(d, n, hashlib.md5(p.encode()).hexdigest()) for d, t in docs for n, p in enumerate(plain_pages(t), 1)}
-    got = entry.queries()["page_split_documents"](spark, SF).collect()
+    got = entry.queries()["page_split"](spark, SF).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert any(not t.isascii() and len(t.encode()) > 3000 for _, t in docs)
 
@@ -45,6 +45,6 @@ def test_ocr_rule_on_whole_pages_of_all_documents(spark):
 def test_file_list_of_all_suppliers(spark):
     con = duckdb.connect()
     con.execute(f"create view supplier as select * from read_parquet('{SF}/supplier.parquet')")
-    want = con.execute(entry.oracle_sql()["file_list_suppliers"]).fetchall()
-    got = [tuple(r) for r in entry.queries()["file_list_suppliers"](spark, SF).collect()]
+    want = con.execute(entry.oracle_sql()["file_list"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["file_list"](spark, SF).collect()]
     assert sorted(got) == sorted(want) and len(got) == con.execute("select count(*) from supplier").fetchone()[0]
