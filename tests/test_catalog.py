@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part documents pages benchmark conversations".split()
-CHECKED = ["flagship", "checksums", "entities", "mapping_resumed", "rewritten", "analysis_counts", "scan_siren", "scan_street", "scan_person_caps", "review_add", "highlight_segments", "resolved", "ocr_needed", "redaction_requests", "hocr_words"]
+CHECKED = ["flagship", "checksums", "entities", "mapping_resumed", "rewritten", "analysis_counts", "scan_siren", "scan_street", "scan_person_caps", "review_add", "highlight_segments", "resolved", "ocr_needed", "file_routing", "file_list", "redaction_requests", "hocr_words"]
 
 
 @pytest.fixture(scope="module")
