@@ -7,16 +7,19 @@ others are higher-order functions.  Order matters: dates, doubtful, companies, p
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
-import pandas as pd
+import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskweave.functions import dialect
 from maskweave.functions.validators import one_of, strip_accents, trim
 from maskweave.operators.patterns import BIRTH_BEFORE, DEATH_BEFORE, NAME_RUN, PARTICLES, PROCEDURE_BEFORE, PROFESSIONALS, STRUCTURED
-from maskweave.operators.spans import SPANS, SPANS_TYPE, empty
+from maskweave.operators.spans import SPANS, SPANS_TYPE, empty, span_arrays, span_tuples
 
 #: `seq` of spans that a pass adds begins here, behind all detected ones.
 COMPANY_STAGE, SPREAD_STAGE, VARIANT_STAGE = 1 << 40, 2 << 40, 3 << 40
@@ -55,33 +58,28 @@ def persons_in_companies(spans: Column) -> Column:
     return F.transform(added, lambda x, i: x.withField("seq", F.lit(COMPANY_STAGE).cast("bigint") + i)).cast(SPANS)
 
 
-def _rows(found: list[tuple], stage: int) -> list[dict]:
-    return [{"start": s, "end": e, "text": t, "category": c, "seq": stage + i} for i, (s, e, t, c) in enumerate(found)]
+def _copies(text: str | None, own: list[tuple]) -> Iterator[tuple]:
+    """Places of all found strings, read off one pass of an automaton; where strings are equal, the first one's category counts."""
+    automaton, places = Automaton(), {x[:2] for x in own}
+    for rank, (_, _, string, category, _) in enumerate(sorted(own, key=lambda x: x[4])):
+        needle = string.lower()
+        if needle and needle not in automaton:
+            automaton.add_word(needle, (rank, len(needle), category))
+    if text is None or not len(automaton):
+        return
+    automaton.make_automaton()
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    hits = sorted((rank, last + 1 - size, last + 1, category) for last, (rank, size, category) in automaton.iter(low))
+    for k, (_, start, end, category) in enumerate(h for h in hits if h[1:3] not in places):
+        yield start, end, text[start:end], category, SPREAD_STAGE + k
 
 
-@F.pandas_udf(SPANS_TYPE)
-def propagate(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Added spans: every further copy of a found string, ignoring case; the first finder of a place has it."""
-
-    def one(text: str | None, own) -> list[dict]:
-        if text is None or own is None or not len(own):
-            return []
-        own = sorted(own, key=lambda x: x["seq"])
-        needles = dict.fromkeys((x["category"], x["text"].lower()) for x in own)
-        taken, low, found = {(x["start"], x["end"]) for x in own}, text.lower(), []
-        if len(low) != len(text):  # a letter whose lower case is longer
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for category, needle in needles:
-            at = low.find(needle) if needle else -1
-            while at != -1:
-                place = (at, at + len(needle))
-                if place not in taken:
-                    taken.add(place)
-                    found.append((*place, text[place[0] : place[1]], category))
-                at = low.find(needle, at + 1)
-        return _rows(found, SPREAD_STAGE)
-
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
+@F.arrow_udf(SPANS_TYPE)
+def propagate(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Added spans: every further copy of a found string, ignoring case."""
+    return span_arrays(_copies(t, own) for t, own in zip(texts.to_pylist(), span_tuples(spans), strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -103,30 +101,37 @@ def _near(a: str, b: str) -> bool:
     return row[-1] <= 2
 
 
-@F.pandas_udf(SPANS_TYPE)
-def spelling_variants(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Added spans: runs of capitalised words within two edits of a person's name."""
+def _thirds(size: int) -> list[tuple[int, int]]:
+    return [(size * k // 3, size * (k + 1) // 3) for k in range(3)]
+
+
+def _variants(text: str | None, own: list[tuple]) -> Iterator[tuple]:
+    """Two edits leave one third of a name whole and move it by two places at most, so only names that share such a third are compared."""
+    known = {x[2].lower() for x in own if x[3] == "PERSONNE" and len(x[2]) >= 4}
+    if text is None or not known:
+        return
+    thirds = defaultdict(set)
+    for name in known:
+        for k, (a, b) in enumerate(_thirds(len(name))):
+            thirds[len(name), k, name[a:b]].add(name)
 
-    def one(text: str | None, own) -> list[dict]:
-        if text is None or own is None or not len(own):
-            return []
-        known = {x["text"].lower() for x in own if x["category"] == "PERSONNE" and len(x["text"]) >= 4}
-        by_length: dict[int, list[str]] = {}
-        for name in known:
-            by_length.setdefault(len(name), []).append(name)
-        taken, found, verdict = {(x["start"], x["end"]) for x in own}, [], {}
-        for m in _name_runs().finditer(text) if known else ():
-            run = m[0].lower()
-            if len(run) < 4 or run in known or m.span() in taken:
-                continue
-            if run not in verdict:
-                verdict[run] = any(_near(run, name) for size in range(len(run) - 2, len(run) + 3) for name in by_length.get(size, ()))
-            if verdict[run]:
-                taken.add(m.span())
-                found.append((*m.span(), m[0], "PERSONNE"))
-        return _rows(found, VARIANT_STAGE)
-
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
+    @cache
+    def alike(run: str) -> bool:
+        sizes = range(max(len(run) - 2, 4), len(run) + 3)
+        keys = ((n, k, run[a + d : b + d]) for n in sizes for k, (a, b) in enumerate(_thirds(n)) for d in range(-2, 3) if a + d >= 0)
+        return any(_near(run, name) for name in set().union(*(thirds.get(x, ()) for x in keys)))
+
+    places = {x[:2] for x in own}
+    runs = (m for m in _name_runs().finditer(text) if len(m[0].lower()) >= 4 and m.span() not in places)
+    new = (m for m in runs if m[0].lower() not in known and alike(m[0].lower()))
+    for k, m in enumerate(new):
+        yield *m.span(), m[0], "PERSONNE", VARIANT_STAGE + k
+
+
+@F.arrow_udf(SPANS_TYPE)
+def spelling_variants(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Added spans: runs of capitalised words within two edits of a person's name."""
+    return span_arrays(_variants(t, own) for t, own in zip(texts.to_pylist(), span_tuples(spans), strict=True))
 
 
 #: Letters that lose their marks to become one of a particle's.

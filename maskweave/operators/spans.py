@@ -8,10 +8,11 @@ narrow: no shuffle, whatever the number of texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,13 +189,33 @@ def python_spans(text: str | None, number: int) -> Iterator[tuple]:
         k += 1
 
 
+def span_arrays(texts: Iterable[Iterable[tuple]]) -> pa.Array:
+    """Spans of a batch of texts as one Arrow array, made from flat columns."""
+    flat, offsets = [], [0]
+    for found in texts:
+        flat.extend(found)
+        offsets.append(len(flat))
+    columns = list(zip(*flat, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["start", "end", "text", "category", "seq"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
+
+
+def span_tuples(spans: pa.Array) -> Iterator[list[tuple]]:
+    """Spans of each text of a batch as (start, end, text, category, seq); none where the array is null."""
+    flat, at = spans.flatten(), 0
+    rows = list(zip(*(flat.field(c).to_pylist() for c in ("start", "end", "text", "category", "seq")), strict=True))
+    for size in pc.list_value_length(spans).to_pylist():
+        yield rows[at : at + (size or 0)]
+        at += size or 0
+
+
 def python_scan(numbers: tuple[int, ...]):
     """An Arrow UDF: text to the spans of all given patterns, so that a text crosses once."""
 
-    @F.pandas_udf(SPANS_TYPE)
-    def scan(texts: pd.Series) -> pd.Series:
-        names = ("start", "end", "text", "category", "seq")
-        return pd.Series([[dict(zip(names, s, strict=True)) for n in numbers for s in python_spans(t, n)] for t in texts])
+    @F.arrow_udf(SPANS_TYPE)
+    def scan(texts: pa.Array) -> pa.Array:
+        return span_arrays((s for n in numbers for s in python_spans(t, n)) for t in texts.to_pylist())
 
     return scan.asNondeterministic()  # kept apart by the optimiser, so that it runs once
 
