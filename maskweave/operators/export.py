@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
+import tempfile
+from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskweave.functions import dialect
 from maskweave.operators.patterns import PAGE_HEADER
@@ -56,6 +62,55 @@ def write_texts(rows: DataFrame, folder: str, key: str, text: str = "text", anon
     rows.select(key, document.alias("value")).write.mode("overwrite").json(f"{folder}/mappings")
 
 
+def write_files(rows: DataFrame, folder: str, key: str, passphrase: str | None = None, text: str = "text", anon: str = "text_anon", mapping: str = "mapping", app: str = "maskweave") -> DataFrame:
+    """One set of files per corpus, as a user opens them: x.txt, x.mapping.json (or x.mapping.enc.json) and x.original.txt.
+
+    The folder is one that all executors share.  Files are written under temporary names and renamed, so a task that
+    runs again leaves whole files.  Keys must be distinct names without slashes; null texts become empty files.
+    Returns (key, file, bytes).  The key of an encrypted mapping is derived once per file, from a salt of its own.
+    """
+    if passphrase is not None and len(passphrase) < LEAST_PASSPHRASE:
+        raise ValueError(f"the passphrase needs {LEAST_PASSPHRASE} characters")
+    names = rows.select(F.col(key).cast("string").alias("k"))
+    if bad := names.groupBy("k").count().filter("k is null or k = '' or k in ('.', '..') or k like '%/%' or count > 1").first():
+        raise ValueError(f"not a distinct file name: {bad.k}")
+    generated = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    picked = rows.select(F.col(key).cast("string").alias("k"), F.coalesce(text, F.lit("")).alias("t"), F.coalesce(anon, F.lit("")).alias("a"), F.coalesce(mapping, F.lit("{}")).alias("m"))
+    if passphrase is not None:
+        wrapped = F.to_json(F.struct(F.lit(generated).alias("generated_at"), F.lit(app).alias("app"), F.from_json("m", "map<string,string>").alias("entries")))
+        picked = sealed(picked.withColumn("m", wrapped), passphrase)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for k, original, anonymous, entries in batch[["k", "t", "a", "m"]].itertuples(index=False):
+                document = entries if passphrase is not None else json.dumps({"generated_at": generated, "app": app, "entries": json.loads(entries)}, ensure_ascii=False, indent=2)
+                for file, body in ((f"{k}.txt", anonymous), (f"{k}.mapping.{'enc.' if passphrase is not None else ''}json", document), (f"{k}.original.txt", original)):
+                    raw = body.encode()
+                    with tempfile.NamedTemporaryFile(dir=folder, prefix=".", delete=False) as f:
+                        f.write(raw)
+                    os.replace(f.name, os.path.join(folder, file))
+                    yield pd.DataFrame([(k, file, len(raw))], columns=["key", "file", "bytes"])
+
+    return picked.mapInPandas(run, "key string, file string, bytes long")
+
+
+def sealed(rows: DataFrame, passphrase: str) -> DataFrame:
+    """rows with m replaced by its AES-256-GCM payload; the passphrase travels in a closure, never as part of a plan."""
+
+    @F.pandas_udf(T.StructType([T.StructField(c, T.BinaryType()) for c in ("salt", "iv", "key")]))
+    def secrets_of(texts: pd.Series) -> pd.DataFrame:
+        salts = [os.urandom(SALT_BYTES) for _ in texts]
+        return pd.DataFrame({"salt": salts, "iv": [os.urandom(IV_BYTES) for _ in texts], "key": [derive_key(passphrase, s) for s in salts]})
+
+    out = rows.withColumn("s", secrets_of.asNondeterministic()(F.col("m")))
+    whole = F.aes_encrypt(F.encode("m", "UTF-8"), F.col("s.key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("s.iv"))
+    text = lambda c, label: F.regexp_replace(F.base64(c), r"\s", "").alias(label)
+    ct = F.expr(f"substring(whole, {IV_BYTES + 1})")
+    payload = F.struct(F.lit(VERSION).alias("v"), F.lit(KDF).alias("kdf"), F.lit(ITERATIONS).alias("iterations"), text(F.col("s.salt"), "salt"), text(F.col("s.iv"), "iv"), text(ct, "ct"))
+    return out.withColumn("whole", whole).withColumn("m", F.to_json(payload)).drop("s", "whole")
+
+
 def derive_key(passphrase: str, salt: bytes) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, ITERATIONS)
 

@@ -78,6 +78,11 @@ def apply_replace(df: DataFrame, needle: Column, category: Column, pseudonym: Co
     return out.withColumn(entities, by_start(F.concat(kept, F.transform("__places", lambda s: _entity(s, size, body, category, pseudonym))))).drop("__places")
 
 
+def dismiss_replace(df: DataFrame, pending: str = "pending_replace") -> DataFrame:
+    """An offered replacement is dropped; entities stay as they are."""
+    return df.withColumn(pending, F.lit(None).cast(df.schema[pending].dataType))
+
+
 def remove_entity(entities: Column, index: Column) -> Column:
     return F.filter(entities, lambda e, i: i != index)
 

@@ -222,6 +222,16 @@ def _page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("digest"))
 
 
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as text files in three encodings, read to pages and put together again."""
+    text, n = F.coalesce("text", F.lit("")), F.pmod("doc_id", F.lit(3))
+    utf8 = F.encode(text, "UTF-8")
+    content = F.when(n == 0, utf8).when(n == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(F.encode(text, "UTF-16"))
+    files = _documents(spark, sf_dir).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    pages = ingest.extract(files).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return pages.select(F.regexp_extract("file", r"^(-?[0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), F.md5(F.array_join("p.text", "")).alias("digest"))
+
+
 def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("in/f"), F.col("page_id").cast("string"), F.lit("."), F.element_at(F.array(*[F.lit(x) for x in ("PDF", "txt", "csv", "html", "DOCX", "rtf", "md")]), (F.col("page_id") % 7 + 1).cast("int"))).alias("path"))
     return made.select("page_id", ingest.name(F.col("path")).alias("name"), ingest.extension(F.col("path")).alias("ext"), ingest.kind(F.col("path")).alias("kind"))
@@ -278,7 +288,7 @@ def queries() -> dict[str, Query]:
         "resolved": _resolved, "entities": _entities, "mapping": _mapping, "mapping_spread": _mapping_spread, "mapping_resumed": _resumed, "mapping_entries": _mapping_entries, "rewritten": _rewritten,
         "reidentified": _reidentified, "stats": _stats, "analysis_counts": _counts, "panel": _panel, "review_add": _review_add, "review_replace": _review_replace, "review_remove": _review_remove,
         "review_toggle": _review_toggle, "review_toggle_category": _review_toggle_category, "review_merge": _review_merge, "highlight_segments": _segments, "search": _search, "corpus_text": _corpus,
-        "page_offsets": _page_offsets, "page_spans": _page_spans, "page_split": _page_split, "file_routing": _routing, "ocr_needed": _ocr, "ocr_needed_documents": _ocr_documents, "file_list": _file_list, "redaction_requests": _requests, "hocr_words": _hocr,
+        "page_offsets": _page_offsets, "page_spans": _page_spans, "page_split": _page_split, "text_files": _text_files, "file_routing": _routing, "ocr_needed": _ocr, "ocr_needed_documents": _ocr_documents, "file_list": _file_list, "redaction_requests": _requests, "hocr_words": _hocr,
         "redaction_boxes": _boxes,
     }
     return out

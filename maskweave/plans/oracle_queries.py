@@ -120,6 +120,7 @@ UNION ALL SELECT doc_id, done, substr(text, done + 1), NULL FROM tail WHERE done
     exts = "['PDF', 'txt', 'csv', 'html', 'DOCX', 'rtf', 'md'][page_id % 7 + 1]"
     out["file_routing"] = f"""SELECT page_id, 'f' || page_id || '.' || {exts} AS name, lower({exts}) AS ext, CASE lower({exts}) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'rtf' THEN 'rtf' WHEN 'html' THEN 'unsupported' ELSE 'text' END AS kind FROM pages"""
     out["ocr_needed"] = r"SELECT item_id, strlen(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 20 AS needs_ocr FROM benchmark"
+    out["text_files"] = "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"
     out["file_list"] = """SELECT path, name, CAST(CASE WHEN o = 1 THEN 4 WHEN o BETWEEN 2 AND 4 THEN o - 1 ELSE o END AS BIGINT) AS file_order
 FROM (SELECT 'd/' || s_name AS path, s_name AS name, row_number() OVER (ORDER BY s_nationkey > 14, s_suppkey) - 1 AS o FROM supplier)"""
     case_files = _reviewed(

@@ -27,7 +27,7 @@ from maskweave.functions.dialect import SPACE
 KINDS = {"pdf": ["pdf"], "docx": ["docx"], "rtf": ["rtf"], "text": ["txt", "text", "md", "csv"]}
 OCR_BELOW_BYTES = 20
 PAGE_BYTES = 3000
-TOOLS = ("pdftotext", "pdfinfo", "pdftoppm", "tesseract", "textutil")
+TOOLS = ("pdftotext", "pdfinfo", "pdftoppm", "tesseract", "textutil", "pdfunite")
 OCR_DPI, OCR_LANGUAGE = 300, "fra"
 PAGES = "file string, page int, text string, used_ocr boolean, error string"
 
@@ -97,9 +97,9 @@ def virtual_pages(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return made.select(*keys, F.posexplode("pages").alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-def tools() -> dict[str, str | None]:
-    """External programs by name: the folder named in MASKWEAVE_TOOLS first, then the path."""
-    own = os.environ.get("MASKWEAVE_TOOLS")
+def tools(folder: str | None = None) -> dict[str, str | None]:
+    """External programs by name: the given folder or that named in MASKWEAVE_TOOLS first, then the path."""
+    own = folder or os.environ.get("MASKWEAVE_TOOLS")
     return {t: (own and shutil.which(t, path=own)) or shutil.which(t) for t in TOOLS}
 
 
@@ -107,18 +107,23 @@ def _run(*args: str) -> str:
     return subprocess.run(args, capture_output=True, check=True, timeout=600).stdout.decode("utf-8", "replace")
 
 
+def page_count(path: str, have: dict[str, str | None]) -> int:
+    return int(re.search(r"^Pages:\s+(\d+)", _run(have["pdfinfo"], path), re.M)[1])
+
+
 def _pdf(path: str) -> Iterator[tuple[int, str, bool]]:
     have = tools()
     if not have["pdftotext"] or not have["pdfinfo"]:
         raise RuntimeError("pdftotext and pdfinfo are not installed")
-    pages = int(re.search(r"^Pages:\s+(\d+)", _run(have["pdfinfo"], path), re.M)[1])
-    for n in range(1, pages + 1):
+    for n in range(1, page_count(path, have) + 1):
         try:
             text = _run(have["pdftotext"], "-layout", "-f", str(n), "-l", str(n), path, "-")
         except subprocess.SubprocessError:
             text = ""
         used = False
-        if len(text.strip().encode()) < OCR_BELOW_BYTES and have["pdftoppm"] and have["tesseract"]:
+        if len(text.strip().encode()) < OCR_BELOW_BYTES:
+            if not have["pdftoppm"] or not have["tesseract"]:
+                raise RuntimeError(f"page {n} needs OCR; pdftoppm and tesseract are not installed")
             with tempfile.TemporaryDirectory() as work:
                 try:
                     _run(have["pdftoppm"], "-r", str(OCR_DPI), "-f", str(n), "-l", str(n), "-png", "-singlefile", path, f"{work}/p")
@@ -182,6 +187,7 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of all files below a path; Spark's reader passes over files of no bytes."""
     return extract(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
@@ -216,3 +222,13 @@ def move_file(listed: DataFrame, source: int, target: int) -> DataFrame:
     at = F.col("file_order")
     low, high, step = (source + 1, target, -1) if source < target else (target, source - 1, 1)
     return listed.withColumn("file_order", F.when(at == source, target).when(at.between(low, high), at + step).otherwise(at))
+
+
+def remove_file(listed: DataFrame, path: Column) -> DataFrame:
+    """The list without a path; later files move up.  Text that was read from it stays until it is read anew."""
+    left = listed.filter(~F.col("path").eqNullSafe(path))
+    return left.withColumn("file_order", (F.row_number().over(Window.orderBy("file_order")) - 1).cast(listed.schema["file_order"].dataType))
+
+
+def clear_files(listed: DataFrame) -> DataFrame:
+    return listed.limit(0)
