@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskweave.functions import dialect, validators
-from maskweave.operators.patterns import NO_FIRST_NAMES, NUMBER, PATTERNS, STOPWORDS, Pattern
+from maskweave.operators.patterns import CATEGORIES, NO_FIRST_NAMES, NUMBER, PATTERNS, STOPWORDS, Pattern
 
 SPAN = "struct<start:bigint,end:bigint,text:string,category:string,seq:bigint>"
 SPANS = f"array<{SPAN}>"
@@ -103,10 +103,10 @@ def _accepted(pattern: Pattern):
         "name": lambda x: (F.length(validators.trim(x)) >= pattern.least) & ~validators.is_stopword(x, STOPWORDS),
         "place": lambda x: F.length(validators.trim(x)) >= pattern.least,
     }
-    return check.get(pattern.check, lambda _: F.lit(True))
+    return check.get(pattern.check, check["place"] if pattern.least else lambda _: F.lit(True))
 
 
-def catalyst_spans(text: Column, pattern: Pattern) -> Column:
+def catalyst_spans(text: Column, pattern: Pattern, number: int) -> Column:
     """One pattern's spans by built-in functions alone."""
     found = matches(text, dialect.java(pattern.source, pattern.ignore_case), pattern.group)
     kept = F.filter(found, lambda x: _accepted(pattern)(x["text"]))
@@ -115,7 +115,7 @@ def catalyst_spans(text: Column, pattern: Pattern) -> Column:
         kept,
         lambda x, i: F.struct(
             x["start"].alias("start"), (x["start"] + F.length(x["text"])).cast("bigint").alias("end"), shown(x["text"]).alias("text"), F.lit(pattern.category).alias("category"),
-            (F.lit(NUMBER[pattern.name] << 32).cast("bigint") + i).alias("seq"),
+            (F.lit(number << 32).cast("bigint") + i).alias("seq"),
         ),
     )
     return made.cast(SPANS)
@@ -125,8 +125,8 @@ def catalyst_spans(text: Column, pattern: Pattern) -> Column:
 
 
 @lru_cache(maxsize=None)
-def _compiled(number: int) -> re.Pattern:
-    return re.compile(dialect.python(PATTERNS[number].source, PATTERNS[number].ignore_case))
+def _compiled(pattern: Pattern) -> re.Pattern:
+    return re.compile(dialect.python(pattern.source, pattern.ignore_case))
 
 
 @lru_cache(maxsize=None)
@@ -177,10 +177,10 @@ def _siren(text: str) -> bool:
 _CHECKS = {"nir": _nir, "iban": _iban, "siren": _siren, "name": lambda x: not _stopword(x), "caps": lambda x: not _stopword(x) and _full_name(x)}
 
 
-def python_spans(text: str | None, number: int) -> Iterator[tuple]:
-    pattern, k = PATTERNS[number], 0
+def python_spans(text: str | None, pattern: Pattern, number: int) -> Iterator[tuple]:
+    k = 0
     check = _CHECKS.get(pattern.check)
-    for m in _compiled(number).finditer(text or ""):
+    for m in _compiled(pattern).finditer(text or ""):
         got = m[pattern.group]
         if not got or (pattern.least and len(_strip().sub("", got)) < pattern.least) or (check and not check(got)):
             continue
@@ -210,12 +210,12 @@ def span_tuples(spans: pa.Array) -> Iterator[list[tuple]]:
         at += size or 0
 
 
-def python_scan(numbers: tuple[int, ...]):
+def python_scan(numbered: tuple[tuple[Pattern, int], ...]):
     """An Arrow UDF: text to the spans of all given patterns, so that a text crosses once."""
 
     @F.arrow_udf(SPANS_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
-        return span_arrays((s for n in numbers for s in python_spans(t, n)) for t in texts.to_pylist())
+        return span_arrays((s for p, n in numbered for s in python_spans(t, p, n)) for t in texts.to_pylist())
 
     return scan.asNondeterministic()  # kept apart by the optimiser, so that it runs once
 
@@ -226,11 +226,24 @@ def python_scan(numbers: tuple[int, ...]):
 FEW = 4
 
 
-def detect(text: Column, only: tuple[str, ...] | None = None, few: int = FEW) -> Column:
-    """All patterns' spans in detection order; only: names of the wanted patterns."""
-    chosen = [p for p in PATTERNS if only is None or p.name in only]
+def numbered(only: tuple[str, ...] | None = None, extra: tuple[Pattern, ...] = ()) -> tuple[tuple[Pattern, int], ...]:
+    """The wanted patterns with their places in detection order; a user's own stand behind all others."""
+    names = {c[0] for c in CATEGORIES}
+    for k, p in enumerate(extra):
+        if p.name in NUMBER or p.name in [x.name for x in extra[:k]]:
+            raise ValueError(f"a pattern of this name exists: {p.name}")
+        if p.category not in names:
+            raise ValueError(f"unknown category: {p.category}")
+        if _compiled(p).groups < p.group:
+            raise ValueError(f"{p.name} has no group {p.group}")
+    return tuple((p, n) for n, p in enumerate((*PATTERNS, *extra)) if only is None or p.name in only or p in extra)
+
+
+def detect(text: Column, only: tuple[str, ...] | None = None, few: int = FEW, extra: tuple[Pattern, ...] = ()) -> Column:
+    """All patterns' spans in detection order; only: names of the wanted patterns; extra: a user's own patterns."""
+    chosen = numbered(only, tuple(extra))
     built_in = len(chosen) <= few
-    here = [catalyst_spans(text, p) for p in chosen if p.engine == "catalyst" and built_in]
-    there = tuple(NUMBER[p.name] for p in chosen if p.engine == "python" or not built_in)
+    here = [catalyst_spans(text, p, n) for p, n in chosen if p.engine == "catalyst" and built_in]
+    there = tuple((p, n) for p, n in chosen if p.engine == "python" or not built_in)
     parts = here + ([python_scan(there)(text)] if there else [])
     return F.array_sort(F.concat(*parts), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)) if len(parts) > 1 else parts[0]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskweave.operators import analyse, pseudonym, refine, resolve, spans
+from maskweave.operators.patterns import Pattern
 
 SAMPLE = """
 Madame Odile VERNET, née le 21/07/1969, demeurant 8 avenue des Tilleuls 33000 BORDEAUX,
@@ -160,3 +161,19 @@ def test_many_spans_in_one_text(spark):
     out = made.select(F.size("kept").alias("n"), pseudonym.rewrite(F.col("text"), F.col("entities")).alias("t")).first()
     assert out.n == n and out.t == text.replace("a@b.fr", "EMAIL_001")
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("only", [("email",), None])
+def test_own_patterns(spark, only):
+    """A user's pattern gives the same spans among few patterns (built-in functions) and among all (Arrow)."""
+    own = (Pattern("case_no", "NUM_DOSSIER", r"dossier\s+([A-Z]{2}-\d+)", True, 1, least=5), Pattern("badge", "PLAQUE", r"badge\s+\d+"))
+    df = spark.createDataFrame([(1, "Dossier AB-1234 et dossier XY-7, badge 12, a@b.fr"), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in analyse.pseudonymise(df, only=only, extra=own).collect()}
+    assert found(rows[1]) == [("NUM_DOSSIER", "AB-1234"), ("PLAQUE", "badge 12"), ("EMAIL", "a@b.fr")] and not rows[2].entities
+    assert rows[1].text_anon == "Dossier NUM_DOSSIER_001 et dossier XY-7, PLAQUE_001, EMAIL_001"
+
+
+@pytest.mark.parametrize("bad", [Pattern("email", "EMAIL", "x"), Pattern("new", "NO_SUCH", "x"), Pattern("new", "EMAIL", "x", group=1)])
+def test_own_patterns_refused(spark, bad):
+    with pytest.raises(ValueError):
+        spans.numbered(extra=(bad,))
