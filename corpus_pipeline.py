@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of copies stays: SimHash links and an exact search for the rest, checked at a similarity of 0.8 or more over five-word shingles."""
     return neardup.keep_one(docs)
 
 

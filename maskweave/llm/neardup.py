@@ -1,6 +1,9 @@
-"""Near-duplicate groups: candidates by an exact prefix filter on word shingles, pairs checked on whole texts.
+"""Near-duplicate groups: candidates by SimHash, the rest by an exact prefix filter on word shingles; pairs checked on whole texts.
 
 Two texts are near copies if the Jaccard similarity of their sets of `shingle`-word shingles reaches `similarity`.
+Candidates come first from the SimHash operator: fingerprints of all texts, linked by its bit-sliced comparison at `radius` bits.
+A similarity bounds no distance of fingerprints, so pairs that it leaves open are met by an exact prefix filter.
+
 All shingles have one order, the frequent ones last (any order is right; this one keeps blocks small).  How frequent
 one is comes from a count over all texts, in a table of fixed size that shingles share by hash.  Near copies of n and m shingles share `similarity` x max(n, m) at least, so each one's first
 n - ceil(similarity x n) + 1 shingles hold one of the other's, whatever the edit: no pair is missed.  Texts that share
@@ -8,11 +11,12 @@ such a shingle are a block.  The smaller text of a pair has the first shared shi
 text that has it that early, as those of a passage that makes up less than eight ninths of its texts, holds no pair.  Pairs whose sizes or whose places of the shared shingle rule the similarity out are
 passed over; bit maps of the sets, which bound their difference from below, rule most others out before texts move.
 
-Groups are the components of the pairs that pass, found in two steps.  First each text is checked with one text that
+Groups are the components of the pairs that pass, found in three steps, of which each takes only pairs that are not joined
+by then.  First the links of SimHash are checked.  Then each text is checked with one text that
 leads a block of it: the one with the fewest rarer shingles, which in a crowd of copies is the least changed one; this
-joins such crowds.  Then every pair of a block that is not joined by then is checked, so no link is lost.  A block's
+joins such crowds.  Then every pair of a block that is still open is checked, so no link is lost.  A block's
 leader comes from an aggregate and a join; shingles counted more than `split` times are joined in parts of that many rows.
-In the second step blocks above `crowd` texts are dealt out: texts in the block's largest group go to one part each, the
+In the third step blocks above `crowd` texts are dealt out: texts in the block's largest group go to one part each, the
 few others to all parts.
 
 Cases: null is the empty text; equal texts are one group; texts without words are one group; repeated rows are
@@ -32,10 +36,12 @@ from pyspark.sql import types as T
 
 from maskweave.llm.common import CHUNK_BYTES, LOWER, NON_SPACE, chunks, cut, list_array, map_text, mix64, numbered, ranges, restored, runs, table, text_buffers
 from maskweave.llm.quality import word_hashes
-from maskweave.llm.simhash import components
+from maskweave.llm.simhash import components, fingerprints, links
 
 #: Counters that all shingles share, and how many of them move as one row.
 BUCKETS, SLICE = 1 << 18, 1 << 12
+#: SimHash's own shingles are of so many words.
+PRINT_WORDS = 3
 #: Steps of a rank from one power of two of a count to the next.
 STEPS = 4
 #: Pairs handed on at once by a task.
@@ -302,6 +308,22 @@ def _pairs(similarity: float):
     return run
 
 
+def alike(marked: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """(a, b), a > b, of texts (node, fp) that SimHash links: each with the least text of its fingerprint, and those of linked fingerprints."""
+    prints = cut(marked.groupBy("fp").agg(F.min("node").alias("b")))
+    same = marked.select("fp", F.col("node").alias("a")).join(prints, "fp").select("a", "b")
+    edges = links(prints.select("fp"), radius, block_rows).distinct()
+    ends = edges.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b")
+    return same.unionByName(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).filter("a != b")
+
+
+def still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose texts are in two groups."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 class _Store:
     """docs in the shared folder under fixed column names, with a number and a text digest for each row."""
 
@@ -316,7 +338,7 @@ def _order(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
 
 
-def _grouped(store: _Store, shingle: int, similarity: float, crowd: int, split: int) -> DataFrame:
+def _grouped(store: _Store, shingle: int, similarity: float, crowd: int, split: int, radius: int, block_rows: int) -> DataFrame:
     """(key, none, id, node, root) of every distinct text: its least id, a row that has it, and the root of its group."""
     nodes = store.rows.groupBy("key").agg(F.min(F.struct(_order(store.id).alias("o"), F.col("row").alias("node"))).alias("m"))
     nodes = cut(nodes.select("key", "m.o.none", "m.o.id", "m.node"))
@@ -328,11 +350,11 @@ def _grouped(store: _Store, shingle: int, similarity: float, crowd: int, split:
     def make():
         def run(data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
             values, first, n, maps, at = prefixes(data, off, shingle, similarity, rank)
-            return [list_array(pa.array(values.view(np.int64)), first), pa.array(n), list_array(pa.array(maps.view(np.int64)), at)]
+            return [list_array(pa.array(values.view(np.int64)), first), pa.array(n), list_array(pa.array(maps.view(np.int64)), at), pa.array(fingerprints(data, off, PRINT_WORDS).view(np.int64))]
 
         return run
 
-    fields = [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("map", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("map", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
     marked = table(map_text(texts, "t", fields, make, ["node"]))
     rows = marked.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     fit = F.count_if(leading(F.col("n"), F.col("pos"), similarity))
@@ -351,10 +373,13 @@ def _grouped(store: _Store, shingle: int, similarity: float, crowd: int, split:
         both = pairs.join(moved.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(moved.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
         return cut(both.select("a", "b", "ta", "tb").mapInArrow(_checked(shingle, similarity), "a long, b long"))
 
+    def grown(roots: DataFrame, more: DataFrame) -> DataFrame:
+        return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    roots = cut(components(checked(cut(possible(alike(marked, radius, block_rows))))))
     first = blocks.filter((F.col("node") != F.col("b")) & could_pass(F.col("n"), F.col("m"), F.col("pos"), F.col("q"), similarity))
-    first = possible(first.select(F.col("node").alias("a"), "b").distinct()).groupBy("a").agg(F.min("b").alias("b"))
-    known = checked(cut(first))
-    roots = components(known)
+    first = possible(still_open(first.select(F.col("node").alias("a"), "b").distinct(), roots)).groupBy("a").agg(F.min("b").alias("b"))
+    roots = grown(roots, checked(cut(first)))
     joined = blocks.select("h", "node", "n", "pos", "total").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     few = joined.filter(F.col("total") <= crowd).withColumns({"part": F.lit(0).cast("bigint"), "role": F.lit(0)})
     many = joined.filter(F.col("total") > crowd)
@@ -365,25 +390,23 @@ def _grouped(store: _Store, shingle: int, similarity: float, crowd: int, split:
     many = many.withColumn("role", apart.cast("int")).withColumn("part", F.explode(F.when(apart, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(own)))
     dealt = few.unionByName(many, allowMissingColumns=True).select("h", "part", "node", "n", "pos", "root", "role")
     rest = dealt.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_pairs(similarity), "a long, b long").distinct()
-    more = checked(cut(possible(rest)))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = grown(roots, checked(cut(possible(rest))))
     return nodes.join(roots, "node", "left").select("key", "none", "id", "node", F.coalesce("root", "node").alias("root"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 512, split: int = 1 << 18) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 512, split: int = 1 << 18, radius: int = 2, block_rows: int = 4096) -> DataFrame:
     """(id, digest of the text, group) of every row: group is the smallest id of the texts that checked links connect."""
     store = _Store(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col)
-    found = cut(_grouped(store, shingle, similarity, crowd, split))
+    found = cut(_grouped(store, shingle, similarity, crowd, split, radius, block_rows))
     least = found.groupBy("root").agg(F.min(F.struct("none", "id")).alias("m")).select("root", F.col("m.id").alias("group"))
     named = found.join(least, "root").select("key", "group")
     return store.rows.select(F.col(store.id).alias(id_col), "key").join(named, "key").select(F.col(f"`{id_col}`"), F.lower(F.hex("key")).alias("digest"), "group")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 512, split: int = 1 << 18) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 512, split: int = 1 << 18, radius: int = 2, block_rows: int = 4096) -> DataFrame:
     """docs with one row of each group: one with the smallest id, of those the text with the least digest."""
     store = _Store(docs, id_col, text_col)
-    found = _grouped(store, shingle, similarity, crowd, split)
+    found = _grouped(store, shingle, similarity, crowd, split, radius, block_rows)
     kept = found.groupBy("root").agg(F.min(F.struct("none", "id", "key", "node")).alias("m")).select(F.col("m.node").alias("row"))
     gone = store.rows.select("row").join(kept.toDF("__n"), F.col("row") == F.col("__n"), "left_anti")
     return restored(_chosen(store.rows, "row", gone, "left_anti"), docs)

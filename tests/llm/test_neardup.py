@@ -125,3 +125,24 @@ def test_passages_shared_by_texts_of_their_own(spark):
     sets = [grams(t) for t in texts]
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert pairs and found == brute.roots(range(len(texts)), pairs) and len(set(found.values())) > 10
+
+
+def test_candidates_come_from_simhash(spark, monkeypatch):
+    """Distinct texts whose fingerprints are within the radius are candidates of the first step, which the stage takes."""
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[:k] + [f"w{rnd.randrange(10**6)}"] + base[k + 1 :]) for k in range(0, 400, 10)] + [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(40)] + ["", "one", "two words"]
+    docs, seen, was = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], neardup.alike
+
+    def watched(marked, radius, block_rows):
+        out = neardup.cut(was(marked, radius, block_rows))
+        seen.append((marked.select("node", "fp").collect(), [(r.a, r.b) for r in out.collect()], radius))
+        return out
+
+    monkeypatch.setattr(neardup, "alike", watched)
+    assert neardup.keep_one(docs).count() < 60
+    (marked, pairs, radius), *none = seen
+    prints = {r.node: r.fp % 2**64 for r in marked}
+    assert sorted(prints.values()) == sorted(brute.simhash(t) for t in texts) and not none
+    near = [(a, b) for a in prints for b in prints if a > b and (prints[a] ^ prints[b]).bit_count() <= radius]
+    assert len(near) > 30 and brute.roots(sorted(prints), pairs) == brute.roots(sorted(prints), near)
